@@ -1,0 +1,146 @@
+import random
+
+import pytest
+
+from pagemill.functions import names
+from pagemill.operators import assembly, catalog, export, summary
+from pagemill.plans import NoBackend, Run, StubRecognizer
+from pagemill.plans.recognize import LOAD_FAILED
+from pagemill.settings import Engine, Separator, Settings
+from pagemill.sources import list_paths, write_export
+from pagemill.streaming import continuous_import
+
+
+def items(spark, rows):
+    """rows: (ord, status, text[, error])"""
+    full = [(o, f"i{o}", f"/in/{o}.png", 10, s, t, (x or [None])[0], 1.0 if s == "completed" else 0.0) for o, s, t, *x in rows]
+    return spark.createDataFrame(full, catalog.SCHEMA)
+
+
+def ids(spark, *wanted):
+    return spark.createDataFrame([(f"i{k}",) for k in wanted], "id string")
+
+
+@pytest.mark.parametrize("n, want", [(0, "0.0 KB"), (51, "0.0 KB"), (256, "0.2 KB"), (768, "0.8 KB"), (1280, "1.2 KB"), (1048524, "1023.9 KB"), (1048525, "1024.0 KB"), (1048576, "1.0 MB"), (1310720, "1.2 MB"), (5000000000, "4768.4 MB"), (None, "—")])
+def test_size_text(spark, n, want):
+    df = spark.createDataFrame([(n,)], "n long")
+    assert df.select(names.size_text(df.n)).first()[0] == want
+
+
+def test_settings():
+    s = Settings()
+    assert s.with_language("fr-FR", True).languages[-1] == "fr-FR"
+    for code in s.languages:
+        s = s.with_language(code, False)
+    assert s.languages == ("en-US",)
+    assert Engine.FAST.level == "fast" and Engine.ACCURATE.level == "accurate"
+
+
+def test_import(spark, tmp_path):
+    for name in ("b.PNG", "a.pdf", "_u.png", ".hid.png", "x.docx", "noext"):
+        (tmp_path / name).write_bytes(b"12")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "deep.png").write_bytes(b"1")
+    listed = list_paths(spark, [str(tmp_path), str(tmp_path / "missing")])
+    assert listed.count() == 6
+    assert list_paths(spark, [str(tmp_path)], include_hidden=False).count() == 5
+    every, fresh = catalog.import_paths(items(spark, []), listed, "one")
+    rows = fresh.orderBy("ord").collect()
+    assert [names_.path.rsplit("/", 1)[1] for names_ in rows] == [".hid.png", "_u.png", "a.pdf", "b.PNG"]
+    assert [r.ord for r in rows] == [0, 1, 2, 3] and len({r.id for r in rows}) == 4
+    again, fresh = catalog.import_paths(every, listed, "two")
+    assert fresh.count() == 0 and again.count() == 4
+    twice = spark.createDataFrame([("/z.png", 1), ("/z.png", 1)], "path string, length long")
+    assert catalog.import_paths(every, twice, "three")[1].count() == 2
+    assert catalog.import_paths(every, twice, "three", dedupe_batch=True)[1].count() == 1
+    assert catalog.default_selection(ids(spark), fresh).count() == 0
+    assert catalog.default_selection(ids(spark, 1), every).first().id == "i1"
+    assert catalog.default_selection(ids(spark), every).first().id == rows[0].id
+
+
+def test_next_selection(spark):
+    r = random.Random(3)
+    for _ in range(8):
+        n = r.randrange(1, 8)
+        every = items(spark, [(k, "pending", "") for k in range(n)])
+        sel, gone = ({k for k in range(n) if r.random() < p} for p in (0.4, 0.5))
+        got = {x.id for x in catalog.next_selection(every, ids(spark, *sel), ids(spark, *gone)).collect()}
+        rest = [k for k in range(n) if k not in gone]
+        if sel & gone:
+            after = [k for k in rest if k > max(gone)] or rest
+            want = {f"i{after[0]}"} if after else set()
+        else:
+            want = {f"i{k}" for k in sel}
+        assert got == want
+
+
+def test_summaries_of_nothing(spark):
+    none = items(spark, [])
+    s = summary.status_summary(none).first()
+    assert (s.items, s.total_progress, s.can_start, s.can_export) == (0, 0.0, False, False)
+    s = summary.selection_summary(none, ids(spark, 1)).first()
+    assert (s.selected, s.all_completed, s.all_failed, s.any_exportable) == (0, True, True, False)
+
+
+def test_run_and_states(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    every = items(spark, [(0, "pending", ""), (1, "failed", "old", "bad"), (2, "completed", "keep"), (3, "pending", "")])
+    content = {"i0": b" one \f two", "i1": b"!fail", "i2": b"new", "i3": b""}
+    given = every.withColumn("content", F.udf(content.get, "binary")("id")).withColumn("path", F.replace("path", F.lit("png"), F.lit("pdf")))
+    run = Run(StubRecognizer(), batches=2, load=None)
+
+    def save(df, k):
+        df.write.parquet(at := f"{tmp_path}/r{k}")
+        return spark.read.parquet(at)
+
+    got = {r.id: r for r in run.start(given, save).collect()}
+    assert got["i0"].status == "completed" and got["i0"].ocr_text == "one\n\ntwo" and got["i0"].progress == 1.0
+    assert got["i1"].status == "failed" and got["i1"].ocr_text == "old" and got["i1"].error_message.startswith("stub")
+    assert got["i2"].ocr_text == "keep"
+    assert got["i3"].status == "completed" and got["i3"].ocr_text == ""
+    run2 = Run(StubRecognizer(), batches=2, load=None)
+
+    def stopping(df, k):
+        run2.stop()
+        return save(df, k + 10)
+
+    assert 0 < sum(r.status == "pending" for r in run2.start(given, stopping).collect()) + 1
+    retried = {r.id: r for r in catalog.retry(every, ids(spark, 1)).collect()}
+    assert retried["i1"].status == "pending" and retried["i1"].error_message is None and retried["i1"].ocr_text == ""
+    failed = {r.id: r for r in Run(NoBackend(), load=None).plan(given).collect()}
+    assert failed["i0"].error_message == "no OCR backend installed"
+    missing = {r.id: r for r in Run(NoBackend()).plan(every).collect()}
+    assert missing["i0"].error_message == LOAD_FAILED
+    assert catalog.clear(every).count() == 0
+
+
+def test_export(spark, tmp_path):
+    every = items(spark, [(0, "completed", "a"), (1, "completed", ""), (2, "failed", "x"), (3, "completed", "b")])
+    target = tmp_path / "out.txt"
+    assert write_export(every, str(target), Settings(separator=Separator.PAGE_BREAK))
+    assert target.read_text() == "=== 0.png ===\na\n\f\n=== 3.png ===\nb"
+    assert export.export_text(every, Settings(separator=Separator.PAGE_BREAK)).first().text == target.read_text()
+    assert not write_export(every, str(tmp_path / "none.txt"), ids=ids(spark, 2)) and not (tmp_path / "none.txt").exists()
+    assert not write_export(every, str(tmp_path / "no/such/folder.txt"))
+    assert export.export_name(every, ids(spark, 3)).first().name == "3_OCR.txt"
+    assert export.copy_selected(every, ids(spark, 0, 1, 3)).first().text == "a\n\n\n\nb"
+    assert export.copy_selected(every, ids(spark, 1)).count() == 0
+    assert export.copy_one(every, "i2").first().text == "x"
+    assert catalog.exportable(every, ids(spark)).count() == 2
+
+
+def test_candidates(spark):
+    seen = spark.createDataFrame([("a", 1, 0, ["x", "y"]), ("a", 1, 1, []), ("a", 1, 2, ["z"])], "id string, page_num int, line_no int, candidates array<string>")
+    assert assembly.assemble_pages(assembly.best_candidates(seen)).first().text == "x\nz"
+
+
+def test_continuous_import(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    spark.createDataFrame([("/a.png", 1), ("/b.txt", 2)], "path string, length long").write.parquet(source)
+    stream = lambda: spark.readStream.schema("path string, length long").parquet(source)
+    continuous_import(stream(), out, mark).awaitTermination()
+    spark.createDataFrame([("/a.png", 1), ("/c.pdf", 2)], "path string, length long").write.mode("append").parquet(source)
+    continuous_import(stream(), out, mark).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("ord").collect()
+    assert [r.path for r in rows] == ["/a.png", "/c.pdf"]
