@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import mix, simhash
+from pagemill.llm import best_two_fit, langid, mix, simhash, templates
 from pagemill.llm.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays in doubt, go."""
+    return langid.accepted(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents stay in the first of them only."""
+    return templates.cleaned(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
     return simhash.representatives(docs)
@@ -22,9 +32,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix.mixed_texts(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents and their places in sequences."""
+    return best_two_fit.packed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
     ("mixing", mixing),
+    ("packing", packing),
 ]
 
 #: SQL can't express a trained classifier or the fingerprints' hash; the stages are tested against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mix, simhash, warc
+from pagemill.llm import ann, best_two_fit, chroma, langid, mix, secrets, simhash, templates, token_output, warc
 from pagemill.llm.shared import stored
 
 
@@ -22,18 +22,59 @@ def op1_mix(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_langid(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(_table(spark, d, "documents"))
+
+
+def op3_best_two_fit(spark: SparkSession, d: str) -> DataFrame:
+    return best_two_fit.packed(_table(spark, d, "documents"))
+
+
+def op4_chroma(spark: SparkSession, d: str) -> DataFrame:
+    """The tables hold no audio: turns of conversations sound as tones. Queries: conversations whose id is divisible by 20."""
+    media = chroma.sonified(_table(spark, d, "conversations"), ["conv_id", "turn"])
+    prints = stored(chroma.fingerprints(media), "audio")
+    got = chroma.matches(prints, ["conv_id", "turn"], F.coalesce(F.col("conv_id") % 20 == 0, F.lit(False)))
+    match = {f"match_{c}": F.col(f"match.{c}") for c in ("conv_id", "turn")}
+    return got.withColumns(match).drop("match")
+
+
 def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(_table(spark, d, "pages"))
 
 
+def op6_ann(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_templates(spark: SparkSession, d: str) -> DataFrame:
+    got = templates.deduplicated(_table(spark, d, "documents"))
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+
+
+def op8_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, d, "documents")).drop("secrets")
+
+
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, d, "documents"))
 
 
+def op10_token_output(spark: SparkSession, d: str) -> DataFrame:
+    return token_output.read_matrices(token_output.write_matrices(_table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_langid": op2_langid,
+    "op3_best_two_fit": op3_best_two_fit,
+    "op4_chroma": op4_chroma,
     "op5_warc": op5_warc,
+    "op6_ann": op6_ann,
+    "op7_templates": op7_templates,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {
