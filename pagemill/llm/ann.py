@@ -100,7 +100,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _kmeans(rows: np.ndarray, conf: Conf, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
     """Centres with at least a row each and the centre of each row; None if the rows can't be told apart."""
-    centres = rows[random.choice(len(rows), conf.branches, replace=False)]
+    centres = rows[random.choice(len(rows), min(conf.branches, len(rows)), replace=False)]
     for _ in range(conf.rounds):
         owner = _distances(rows, centres).argmin(axis=1)
         used = np.unique(owner)

@@ -57,7 +57,7 @@ def sainte_lague(votes, seats: int, caps) -> np.ndarray:
         if t in (low, high):
             break
         low, high = (low, t) if above(t).sum() <= seats else (t, high)
-    got = above(high)
+    got = above(high * (1 + 1e-9))  # equal quotients near the edge are left to the queue, which knows their order
     queue = [(-votes[k] / (2 * got[k] + 1), k) for k in range(len(votes)) if got[k] < caps[k]]
     heapq.heapify(queue)
     for _ in range(seats - int(got.sum())):

@@ -30,6 +30,7 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_CASE = re.compile(r"[a-z][A-Z]")
 _LONG = re.compile(r"[0-9a-f]{24,}")
 
 
@@ -37,7 +38,7 @@ _LONG = re.compile(r"[0-9a-f]{24,}")
 class Conf:
     before: int = 64  # characters between a sensitive word and what it makes suspicious
     around: int = 512  # characters of surrounding text on each side
-    least_share: float = 0.62  # marginal bytes for each byte of the candidate
+    least_share: float = 0.7  # marginal bytes for each byte of the candidate
     least_symbols: int = 8  # different characters of a candidate
 
 
@@ -85,7 +86,8 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], conf: Conf = Conf()
             s = text[a:b]
             if len(set(s)) < conf.least_symbols or any(x < b and a < y for x, y, _ in base):
                 continue
-            if s.isalpha() and (s.islower() or s.istitle()):  # a plain word
+            # words, names and paths of one case hold neither digits nor changes of case; the compressor decides on the rest
+            if not any(map(str.isdigit, s)) and len(_CASE.findall(s)) < 3:
                 continue
             around = text[max(0, a - conf.around) : a] + text[b : b + conf.around]
             if novelty(s, around) >= conf.least_share:

@@ -27,7 +27,7 @@ from pagemill.llm.best_two_fit import END_ID, LENGTH, encoded
 from pagemill.llm.bpe import default_vocabulary
 from pagemill.llm.shared import shared_folder, stored
 
-FILE_TOKENS = 4 << 20
+FILE_TOKENS, MOST_TASKS = 4 << 20, 20_000
 _FILES = "path string, number long, rows long, tokens long"
 _SEGMENTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, positions_reset boolean"
 
@@ -177,4 +177,5 @@ def read_matrices(files: DataFrame) -> DataFrame:
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
-    return files.repartition("path").mapInArrow(run, _SEGMENTS)
+    # a stated number of tasks, as Spark would put rows this small into one
+    return files.repartition(max(1, min(MOST_TASKS, files.count()))).mapInArrow(run, _SEGMENTS)
