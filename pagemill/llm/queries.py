@@ -110,5 +110,20 @@ SELECT page_id, payload_bytes,
     (((('0x' || substr(h || '0', 5 * i // 4 + 1, 2))::INTEGER >> (3 - 5 * i % 4)) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
   CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN place > 1 THEN top END AS refers_to FROM d
+""",
+    "op7_templates": r"""
+WITH d AS (SELECT row_number() OVER () AS nr, coalesce(doc_id, 9223372036854775807) AS place, doc_id, text FROM documents),
+l AS (SELECT nr, place, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d WHERE text IS NOT NULL),
+t AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[\t\n\x0b\f\r ]+'), lambda x: x <> ''),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+s AS (SELECT *, len(w) || ' ' || array_to_string(w[1:2], ' ') AS top, w[3:] AS rest, len(w) - 2 AS m FROM t WHERE len(w) >= 3),
+p AS (SELECT *, [array_to_string(rest[m * i // 4 + 1 : m * (i + 1) // 4], ' ') for i in range(4)] AS part FROM s),
+k AS (SELECT nr, place, line_no, unnest(CASE WHEN len(w) < 8 THEN [top || chr(10) || array_to_string(rest, ' ')]
+        ELSE list_transform(range(5), lambda g: top || chr(10) || array_to_string([CASE WHEN i + 1 = g THEN '<*>' ELSE part[i + 1] END for i in range(4)], chr(10))) END) AS key FROM p),
+often AS (SELECT key, min(place) AS first FROM k GROUP BY key HAVING count(DISTINCT nr) >= 3),
+lost AS (SELECT DISTINCT nr, line_no FROM k JOIN often USING (key) WHERE place <> first),
+kept AS (SELECT l.nr, count(*) AS n_lines, count(lost.nr) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (lost.nr IS NULL), '') AS text
+         FROM l LEFT JOIN lost ON lost.nr = l.nr AND lost.line_no = l.line_no GROUP BY l.nr)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM d LEFT JOIN kept USING (nr)
 """,
 }

@@ -33,23 +33,28 @@ class Conf:
     least_docs: int = 3
 
 
-_FIELD = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(rb"[0-9]")
 _LAST = (1 << 63) - 1
 _ROWS = "doc long, text_key long, line_no int, key long, fresh boolean"
 
 
-def paths(line: str, conf: Conf = Conf()) -> list[str]:
-    """The exact path first, then the generalised ones; none for a line that is too short to drop."""
-    tokens = _FIELD.sub("<*>", line).split()
+def paths(line: bytes, conf: Conf = Conf()) -> list[bytes]:
+    """The exact path first, then the generalised ones; none for a line that is too short to drop.
+
+    Tokens lie between ASCII white space; one with a digit is a variable field.
+    """
+    tokens = line.split()
     n = len(tokens)
     if n < conf.least_tokens:
         return []
-    top, rest = f"{n} " + " ".join(tokens[: conf.lead]), tokens[conf.lead :]
+    if _DIGIT.search(line):
+        tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+    top, rest = b"%d " % n + b" ".join(tokens[: conf.lead]), tokens[conf.lead :]
     if n < conf.least_general:
-        return [f"{top}\n" + " ".join(rest)]
+        return [top + b"\n" + b" ".join(rest)]
     m, k = len(rest), conf.segments
-    parts = [" ".join(rest[m * i // k : m * (i + 1) // k]) for i in range(k)]
-    return ["\n".join([top, *parts]), *("\n".join([top, *parts[:i], "<*>", *parts[i + 1 :]]) for i in range(k))]
+    parts = [b" ".join(rest[m * i // k : m * (i + 1) // k]) for i in range(k)]
+    return [b"\n".join([top, *parts]), *(b"\n".join([top, *parts[:i], b"<*>", *parts[i + 1 :]]) for i in range(k))]
 
 
 def _keyed(conf: Conf):
@@ -66,9 +71,9 @@ def _keyed(conf: Conf):
             columns = docs, texts, numbers, keys, fresh = [], [], [], [], []
             for doc, text_key, text in zip(given.column("doc").to_pylist(), given.column("text_key").to_pylist(), given.column("text"), strict=True):
                 seen: set[int] = set()
-                for nr, line in enumerate(text.as_py().split("\n")):
+                for nr, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
                     for path in paths(line, conf):
-                        key = h(path.encode("utf-8", "surrogatepass")) - (1 << 63)
+                        key = h(path) - (1 << 63)
                         docs.append(doc)
                         texts.append(text_key)
                         numbers.append(nr)

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 from cases import awkward, documents
-from oracle import SF
+from oracle import SF, compare
 
 from pagemill.llm import queries, templates
 
@@ -10,7 +10,7 @@ def brute(rows, conf=templates.Conf()):
     docs, first = defaultdict(int), {}
     place = lambda d: (1 << 63) - 1 if d is None else d
     for d, t, *_ in rows:
-        for key in {p for line in (t or "").split("\n") for p in templates.paths(line, conf)} if t is not None else ():
+        for key in {p for line in (t or "").split("\n") for p in templates.paths(line.encode(), conf)} if t is not None else ():
             docs[key] += 1
             first[key] = min(first.get(key, place(d)), place(d))
     out = []
@@ -19,7 +19,7 @@ def brute(rows, conf=templates.Conf()):
             out.append((d, 0, 0, None))
             continue
         lines = t.split("\n")
-        kept = [x for x in lines if not any(docs[p] >= conf.least_docs and first[p] != place(d) for p in templates.paths(x, conf))]
+        kept = [x for x in lines if not any(docs[p] >= conf.least_docs and first[p] != place(d) for p in templates.paths(x.encode(), conf))]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -40,11 +40,11 @@ def test_paths():
     b = "Posted by user 99 on the main board at noon today"
     c = "Posted by nobody else on the main board at noon today"
     d = "Sent by user 12 on the main board at noon today"
-    assert templates.paths(a)[0] == templates.paths(b)[0] != templates.paths(c)[0]
-    assert set(templates.paths(a)) & set(templates.paths(c))
-    assert not set(templates.paths(a)) & set(templates.paths(d))
-    assert templates.paths("two words") == [] and templates.paths("") == []
-    assert len(templates.paths("one two three")) == 1
+    assert templates.paths(a.encode())[0] == templates.paths(b.encode())[0] != templates.paths(c.encode())[0]
+    assert set(templates.paths(a.encode())) & set(templates.paths(c.encode()))
+    assert not set(templates.paths(a.encode())) & set(templates.paths(d.encode()))
+    assert templates.paths(b"two words") == [] and templates.paths(b"") == []
+    assert len(templates.paths(b"one two three")) == 1
 
 
 def test_recurring_lines_stay_in_the_first_document(spark):
@@ -69,3 +69,7 @@ def test_awkward(spark):
     assert templates.deduplicated(documents(spark, [])).count() == 0
     for r in templates.cleaned(docs).collect():
         assert r.n_chars == (None if r.text is None else len(r.text))
+
+
+def test_query_equals_sql(spark):
+    assert compare(queries.op7_templates(spark, SF), queries.ORACLE_SQL["op7_templates"]) == 1000
