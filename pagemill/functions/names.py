@@ -22,6 +22,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"^(.+)\.[^./]+$", "$1")
 
 
+def input_kind(path: Column) -> Column:
+    """Which loader an item goes to: ``pdf`` page by page, ``image`` as a whole."""
+    return F.when(F.lower(extension(path)) == "pdf", "pdf").otherwise("image")
+
+
 def size_text(length: Column) -> Column:
     """KB with one decimal below 1024 KB, else MB; a dash if the size is unknown."""
     kb = length / F.lit(1024.0)

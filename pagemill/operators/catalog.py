@@ -111,6 +111,15 @@ def clear(items: DataFrame) -> DataFrame:
     return items.where(F.lit(False))
 
 
+def disjoint(selection: DataFrame, ids: DataFrame) -> bool:
+    return selection.join(ids.select("id"), "id", "left_semi").isEmpty()
+
+
+def remove_selected(items: DataFrame, selection: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalog without the selected items, the selection that follows)."""
+    return remove(items, selection), next_selection(items, selection, selection)
+
+
 def next_selection(items: DataFrame, selection: DataFrame, removed: DataFrame) -> DataFrame:
     """Selection after a removal, as rows of ids.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import clean
-from pagemill.operators.catalog import COLUMNS, work_list
+from pagemill.operators.catalog import COLUMNS, import_paths, work_list
 from pagemill.plans.recognize import Recognizer, read_bytes, recognize
 from pagemill.settings import Settings
 
@@ -62,3 +62,14 @@ class Run:
             return items if done is None else apply_results(items, done, self.settings)
         finally:
             self._busy.release()
+
+    @property
+    def active(self) -> bool:
+        return self._busy.locked()
+
+    def import_paths(self, items: DataFrame, paths: DataFrame, batch: str, save: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+        """Import, then start if the settings ask for it and something is new; an active run goes on undisturbed."""
+        catalog, fresh = import_paths(items, paths, batch)
+        if self.settings.auto_start and not self.active and not fresh.isEmpty():
+            return self.start(catalog, save)
+        return catalog

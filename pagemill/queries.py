@@ -104,6 +104,12 @@ def _line_assembly(spark: SparkSession, d: str) -> DataFrame:
     return assembly.assemble_pages(lines)
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    seen = F.when(F.col("doc_id") % 3 != 0, F.array("text", F.upper("text"))).otherwise(F.array().cast("array<string>"))
+    return assembly.best_candidates(docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("page_num"), F.col("n_chars").alias("line_no"), seen.alias("candidates")))
+
+
 def _page_assembly(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") + 1).alias("page_num"), "text")
     return assembly.assemble_documents(pages)
@@ -261,6 +267,27 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
           CASE WHEN ord % 7 = 3 THEN '' ELSE ocr_text END AS ocr_text, CASE WHEN ord % 7 <> 3 THEN error_message END AS error_message, progress FROM items""",
     ),
     "after_remove": (_on_selection(catalog.remove), f"WITH {_ITEMS} SELECT * FROM items WHERE ord % 7 <> 3"),
+    "copy_one": (
+        lambda spark, d: export.copy_one(items(spark, d), "8"),
+        f"WITH {_ITEMS} SELECT ocr_text AS text FROM items WHERE id = '8' AND ocr_text <> ''",
+    ),
+    "type_dispatch": (
+        lambda spark, d: catalog.importable(items(spark, d)).select("id", names.input_kind(F.col("path")).alias("kind")),
+        f"WITH {_ITEMS} SELECT id, CASE WHEN lower({_ENDING}) = 'pdf' THEN 'pdf' ELSE 'image' END AS kind FROM items WHERE lower({_ENDING}) IN {_ALLOWED}",
+    ),
+    "best_candidates": (
+        _candidates,
+        "SELECT doc_id AS id, 1::INTEGER AS page_num, n_chars AS line_no, text FROM documents WHERE doc_id % 3 <> 0",
+    ),
+    "default_selection": (
+        lambda spark, d: catalog.default_selection(chosen(items(spark, d)).limit(0), catalog.importable(items(spark, d))),
+        f"WITH {_ITEMS} SELECT arg_min(id, ord) AS id FROM items WHERE lower({_ENDING}) IN {_ALLOWED}",
+    ),
+    "selection_after_remove_selected": (
+        _on_selection(lambda every, ids: catalog.remove_selected(every, ids)[1]),
+        f"""WITH {_ITEMS}, m AS (SELECT max(ord) AS last FROM items WHERE ord % 7 = 3)
+        SELECT coalesce(arg_min(id, ord) FILTER (ord > last), arg_min(id, ord)) AS id FROM items, m WHERE ord % 7 <> 3""",
+    ),
     "run_stub": (
         _run_stub,
         f"""WITH {_ITEMS}, {_NOISED}, r AS (SELECT i.*, {_RUN_TEXT} AS raw FROM items i JOIN noised n ON n.doc_id = i.ord)

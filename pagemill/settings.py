@@ -12,6 +12,13 @@ LANGUAGES = ("zh-Hans", "zh-Hant", "en-US", "ja-JP", "ko-KR", "fr-FR", "de-DE",
 FALLBACK_LANGUAGE = "en-US"
 
 
+# Label and hint of each engine, as they are displayed.
+ENGINE_TEXTS = {
+    "vision_fast": ("快速模式", "速度快，适合批量快速处理"),
+    "vision_accurate": ("精准模式", "识别效果好，速度稍慢（推荐）"),
+}
+
+
 class Engine(Enum):
     """Recognition level. Both correct words by language."""
 
@@ -22,9 +29,17 @@ class Engine(Enum):
     def level(self) -> str:
         return "fast" if self is Engine.FAST else "accurate"
 
+    @property
+    def corrects_language(self) -> bool:
+        return True
+
+    @property
+    def label(self) -> str:
+        return ENGINE_TEXTS[self.value][0]
+
     @property
     def hint(self) -> str:
-        return "quicker" if self is Engine.FAST else "better results, slightly slower"
+        return ENGINE_TEXTS[self.value][1]
 
 
 class Separator(Enum):

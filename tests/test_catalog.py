@@ -33,6 +33,7 @@ def test_settings():
     for code in s.languages:
         s = s.with_language(code, False)
     assert s.languages == ("en-US",)
+    assert Engine.FAST.label != Engine.ACCURATE.label and Engine.FAST.hint and Engine.FAST.corrects_language
     assert Engine.FAST.level == "fast" and Engine.ACCURATE.level == "accurate"
 
 
@@ -144,3 +145,28 @@ def test_continuous_import(spark, tmp_path):
     continuous_import(stream(), out, mark).awaitTermination()
     rows = spark.read.parquet(out).orderBy("ord").collect()
     assert [r.path for r in rows] == ["/a.png", "/c.pdf"]
+
+
+def test_auto_start(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b" seen ")
+    listed = list_paths(spark, [str(tmp_path)])
+    saved = []
+
+    def save(df, k):
+        saved.append(k)
+        df.write.parquet(at := f"{tmp_path}/out{len(saved)}")
+        return spark.read.parquet(at)
+
+    none = items(spark, [])
+    assert Run(StubRecognizer()).import_paths(none, listed, "b", save).first().status == "pending"
+    run = Run(StubRecognizer(), Settings(auto_start=True))
+    got = run.import_paths(none, listed, "b", save)
+    assert got.first().ocr_text == "seen" and saved == [0] and not run.active
+    assert run.import_paths(got, listed, "c", save).count() == 1 and saved == [0]
+
+
+def test_remove_selected(spark):
+    every = items(spark, [(k, "pending", "") for k in range(4)])
+    rest, selection = catalog.remove_selected(every, ids(spark, 1, 2))
+    assert sorted(r.ord for r in rest.collect()) == [0, 3] and [r.id for r in selection.collect()] == ["i3"]
+    assert catalog.disjoint(ids(spark, 1), ids(spark, 2)) and not catalog.disjoint(ids(spark, 1), ids(spark, 1, 2))
