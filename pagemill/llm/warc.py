@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from pagemill.llm.shared import shared_folder, stored
 
 MAGIC = b"\x1f\x8b\x08"
+MOST_TASKS = 20_000
 _HEAD_MOST = 1 << 16  # bytes of a WARC header block at most
 _FILES = "path string, size long, records long"
 _SPLITS = "path string, size long, start long, stop long"
 RECORDS = (
     "path string, offset long, next_offset long, type string, record_id string, refers_to string, uri string, "
-    "declared_digest string, content_type string, http_head string, payload binary"
+    "declared_digest string, content_type string, http_head string, payload binary, payload_digest string"
 )
 
 
@@ -217,7 +218,7 @@ def records_in(file, size: int, start: int, stop: int) -> Iterator[tuple[int, in
 
 def _reader(splits: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORDS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 7, pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 7, pa.binary(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -232,7 +233,7 @@ def _reader(splits: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if head.get("content-type", "").startswith("application/http"):
                         cut = block.find(b"\r\n\r\n")
                         http, payload = block[: cut + 2].decode("latin-1"), block[cut + 4 :]
-                    rows.append((split["path"], at, end, head["warc-type"], head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("content-type"), http, payload))
+                    rows.append((split["path"], at, end, head["warc-type"], head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("content-type"), http, payload, digest(payload)))
                     held += len(payload)
                     if held > 4 << 20 or len(rows) >= 2000:
                         yield batch(rows)
@@ -250,8 +251,8 @@ def read_archives(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = files.select("path", "size", starts.alias("start"))
     splits = splits.select("path", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop"))
-    # a range each; dealing by hash of the range keeps large archives apart
-    return splits.repartition("path", "start").mapInArrow(_reader, RECORDS)
+    # a stated number of tasks, as Spark would put rows this small into one
+    return splits.repartition(max(1, min(MOST_TASKS, splits.count()))).mapInArrow(_reader, RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 64 << 20, split_bytes: int = 4 << 20) -> DataFrame:
@@ -266,17 +267,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 64 <
     return got.select(
         page("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload")).otherwise(F.nullif(declared, F.lit("")).cast("long")).cast("long").alias("payload_bytes"),
-        F.when(response, _base32(F.sha1("payload"))).otherwise(F.replace("declared_digest", F.lit("sha1:"), F.lit(""))).alias("payload_digest"),
+        F.when(response, F.col("payload_digest")).otherwise(F.replace("declared_digest", F.lit("sha1:"), F.lit(""))).alias("payload_digest"),
         F.col("type").alias("record_type"),
         page("refers_to").alias("refers_to"),
     )
-
-
-def _base32(hexed: Column) -> Column:
-    """Base32 of 20 bytes given as 40 hex digits: their 160 bits as 32 groups of five."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(hexed, 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)))
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, 5 * k + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)),
-    )
-    return F.array_join(groups, "")
