@@ -280,7 +280,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         "SELECT doc_id AS id, 1::INTEGER AS page_num, n_chars AS line_no, text FROM documents WHERE doc_id % 3 <> 0",
     ),
     "default_selection": (
-        lambda spark, d: catalog.default_selection(chosen(items(spark, d)).limit(0), catalog.importable(items(spark, d))),
+        lambda spark, d: catalog.default_selection(catalog.clear(items(spark, d)), catalog.importable(items(spark, d))),
         f"WITH {_ITEMS} SELECT arg_min(id, ord) AS id FROM items WHERE lower({_ENDING}) IN {_ALLOWED}",
     ),
     "selection_after_remove_selected": (
