@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bpe import WordEncoder, default_vocabulary
+from pagemill.llm.bpe import Encoder, default_vocabulary
 from pagemill.llm.shared import stored
 
 LENGTH, END_ID, SHARD_PIECES = 2048, 0, 200_000
@@ -36,7 +36,7 @@ def cuts(tokens: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def encoded(texts: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[int, bytes]]:
     """(row, little-endian unsigned 32-bit ids) of whole texts, a few MB of text at a time."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    encoder, at, n = WordEncoder.get(path), 0, len(texts)
+    encoder, at, n = Encoder.get(path), 0, len(texts)
     while at < n:
         some, held = [], 0
         while at + len(some) < n and held < 4 << 20:

@@ -8,7 +8,7 @@ from oracle import SF
 from tokenizers import Tokenizer
 
 from pagemill.llm import best_two_fit, queries, token_output
-from pagemill.llm.bpe import WordEncoder, default_vocabulary
+from pagemill.llm.bpe import Encoder, default_vocabulary
 
 WHOLE = Tokenizer.from_file(default_vocabulary())
 WHOLE.encode_special_tokens = True
@@ -33,8 +33,9 @@ def test_ids_equal_the_tokenizer():
 
     texts = TEXTS + [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' limit 150").fetchall()]
     r = random.Random(4)
-    texts += ["".join(r.choice(" ab'\n\t.é1日 sS-") for _ in range(r.randrange(30))) for _ in range(1500)]
-    encoder = WordEncoder(default_vocabulary(), cached_words=50)
+    texts += ["".join(r.choice(" ab'\n\t.é1日 sS-\x85\xa0\x1c“—½²Ⅷ") for _ in range(r.randrange(30))) for _ in range(1500)]
+    texts += [chr(c) * k + " a" + chr(c) + "1" + chr(c) + " " + chr(c) for c in (*range(0x500), *range(0x2000, 0x2200), *range(0x3000, 0x3100), 0x4E00, 0x9FA5, 0xAC00, 0x1F300, 0x1F320, 0x1F600) for k in (1, 2)]
+    encoder = Encoder(default_vocabulary())
     for _ in range(2):
         for text, got in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == ids(text), repr(text)
