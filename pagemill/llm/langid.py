@@ -172,10 +172,12 @@ def train(docs: DataFrame, conf: Conf = Conf()) -> ByteNet | None:
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(conf.languages)
-    w = Window.partitionBy("lang").orderBy("key", "doc_id")
     ranked = rows.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("key"))
-    keys = ranked.select("lang", "key", "doc_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= conf.rows_per_language)
-    keys = keys.join(F.broadcast(top.select("lang")), "lang")  # at most ``languages`` rows
+    # the least hashes of each label, first thinned to some times as many, so no task ranks more whatever the input
+    share = F.col("key").cast("double") / 2.0**64 + 0.5 < F.lit(4.0 * conf.rows_per_language) / F.col("count")
+    thin = ranked.select("lang", "key", "doc_id").join(F.broadcast(top), "lang").where(share)  # top: at most ``languages`` rows
+    w = Window.partitionBy("lang").orderBy("key", "doc_id")
+    keys = thin.withColumn("place", F.row_number().over(w)).where(F.col("place") <= conf.rows_per_language)
     chosen = keys.select("doc_id").distinct()  # at most languages * rows_per_language ids
     n, size = conf.windows_per_row, conf.window
     room = F.greatest(F.length("text") - size, F.lit(0))
@@ -197,29 +199,32 @@ def predict(texts: Column, net: ByteNet | None) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            given = batch.to_pylist()
-            found = [("und", 0.0)] * len(given)
-            some = [k for k, t in enumerate(given) if net is not None and has_letter(t)]
-            for k, lang, score in _scored(net, some, given):
-                found[k] = (lang, score)
+            found = [("und", 0.0)] * len(batch)
+            if net is not None:
+                for k, lang, score in _scored(batch):
+                    found[k] = (lang, score)
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([float(s) for _, s in found], pa.float64())], names=["lang", "score"])
 
-    def _scored(net, some, given):
-        at = 0
-        while at < len(some):  # a few MB of text at a time
-            part, held = [], 0
-            while at < len(some) and held < 4 << 20:
-                part.append((some[at], given[some[at]].encode("utf-8", "surrogatepass")))
+    def _scored(batch):
+        part, held = [], 0
+        for k, value in enumerate(batch):  # a few MB of text at a time
+            text = value.as_py()
+            if has_letter(text):
+                part.append((k, text.encode("utf-8", "surrogatepass")))
                 held += len(part[-1][1])
-                at += 1
-            windows, owner, used = _windows([t for _, t in part], net.conf.window)
-            p = net.probabilities(windows) * used[:, None]
-            ends = np.flatnonzero(np.append(np.diff(owner), 1))
-            sums = np.add.reduceat(p, np.concatenate(([0], ends[:-1] + 1)), axis=0)
-            sums /= sums.sum(axis=1, keepdims=True)
-            best = sums.argmax(axis=1)
-            for (k, _), b, row in zip(part, best, sums, strict=True):
-                yield k, langs[b], min(1.0, float(row[b]))
+            if part and (held >= 2 << 20 or k + 1 == len(batch)):
+                yield from _best(part)
+                part, held = [], 0
+
+    def _best(part):
+        windows, owner, used = _windows([t for _, t in part], net.conf.window)
+        p = net.probabilities(windows) * used[:, None]
+        ends = np.flatnonzero(np.append(np.diff(owner), 1))
+        sums = np.add.reduceat(p, np.concatenate(([0], ends[:-1] + 1)), axis=0)
+        sums /= sums.sum(axis=1, keepdims=True)
+        best = sums.argmax(axis=1)
+        for (k, _), b, row in zip(part, best, sums, strict=True):
+            yield k, langs[b], min(1.0, float(row[b]))
 
     from pyspark.sql.functions import arrow_udf
 
