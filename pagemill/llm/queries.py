@@ -48,7 +48,7 @@ def op6_ann(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_templates(spark: SparkSession, d: str) -> DataFrame:
-    got = templates.deduplicated(_table(spark, d, "documents"))
+    got = templates.deduplicated(_table(spark, d, "documents").select("doc_id", "text"))
     return got.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 

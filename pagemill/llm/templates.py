@@ -72,7 +72,8 @@ def _keyed(conf: Conf):
             for doc, text_key, text in zip(given.column("doc").to_pylist(), given.column("text_key").to_pylist(), given.column("text"), strict=True):
                 seen: set[int] = set()
                 for nr, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
-                    for path in paths(line, conf):
+                    found = paths(line, conf)
+                    for path in found[1:] or found:  # lines on one exact path share all its generalised ones
                         key = h(path) - (1 << 63)
                         docs.append(doc)
                         texts.append(text_key)
@@ -95,17 +96,17 @@ def _place(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
 
-def dropped_lines(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
-    """(doc, text_key, lines): numbers of the lines that a text loses; texts that lose none have no row."""
+def recurring_lines(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
+    """(text_key, hits): for each text the lines on recurring templates, each with a document that comes first there."""
     text = F.col("text").cast("string")
     given = docs.where(text.isNotNull()).select(_place(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = stored(given.mapInArrow(_keyed(conf), _ROWS), "lines")
-    # a key in a single row can't recur: the first count needs the key alone, and leaves few keys for the join
+    # counted by partial aggregates, so a template in very many documents arrives as a row from each task
     often = rows.groupBy("key").agg(F.count_if("fresh").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= conf.least_docs)
     often = stored(often.select("key", "first"), "templates")
-    # an inner join, so that Spark may split a template with very many lines
-    hit = rows.select("doc", "text_key", "line_no", "key").join(often, "key").where("doc <> first")
-    return hit.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    # an inner join, so that Spark may split a template with very many lines; whose document it is doesn't matter yet
+    hit = rows.select("text_key", "line_no", "key").join(often, "key")
+    return hit.groupBy("text_key").agg(F.collect_set(F.struct("line_no", "first")).alias("hits"))
 
 
 def deduplicated(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
@@ -115,16 +116,16 @@ def deduplicated(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     drop each other's lines, as neither comes first. Rows without an id come last, all at one place. Columns
     of ``docs`` may have any names, they stay inside ``row``. An empty table gives no rows.
     """
-    lost = dropped_lines(docs, conf)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _place(F.col("doc_id")).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    got = whole.join(lost, ["doc", "text_key"], "left")
+    lost = F.array_distinct(F.transform(F.filter("hits", lambda x: x["first"] < F.col("doc")), lambda x: x["line_no"]))
+    got = whole.join(recurring_lines(docs, conf), "text_key", "left").withColumn("lost", F.coalesce(lost, F.array().cast("array<int>")))
     lines = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("lines", k)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("lost", k)), "\n")
     return got.select(
         "row",
-        F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+        F.when(F.size("lost") == 0, F.col("row.text")).otherwise(kept).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size("lost").cast("long").alias("n_dropped"),
     )
 
 
