@@ -140,18 +140,20 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("cid").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _nearest(queries: np.ndarray, rows: np.ndarray, ids: list, keep: int) -> Iterator[tuple[int, float, int]]:
-    """(query, score, row) of the ``keep`` nearest rows of each query, ties to the smallest id; scores are exact in doubles."""
+def _nearest(queries: np.ndarray, rows: np.ndarray, ids: list, keep: int, allowed=None) -> Iterator[tuple[int, float, int]]:
+    """(query, score, row) of the ``keep`` nearest rows of each query, ties to the smallest id; scores are exact in doubles.
+
+    ``allowed(from, to)``: which rows those queries may have, as booleans (queries, rows).
+    """
     norms = (rows * rows).sum(1)
     for at in range(0, len(queries), 256):
         some = queries[at : at + 256]
         far = norms[None] - 2 * (some @ rows.T) + (some * some).sum(1)[:, None]
+        if allowed is not None:
+            far[~allowed(at, at + len(some))] = np.inf
         for k, row in enumerate(far):
-            if len(row) > keep:
-                edge = np.partition(row, keep - 1)[keep - 1]
-                near = np.flatnonzero(row <= edge + 1e-9 * (abs(edge) + norms.max() + float((some[k] ** 2).sum())))
-            else:
-                near = np.arange(len(row))
+            edge = np.partition(row, keep - 1)[keep - 1] if len(row) > keep else np.inf
+            near = np.flatnonzero(row <= edge + 1e-9 * (abs(edge) + norms.max() + float((some[k] ** 2).sum()))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(row))
             score = np.sqrt(((rows[near] - some[k]) ** 2).sum(axis=1))
             for s, _, r in sorted(zip(score.tolist(), (ids[r][0] for r in near), near.tolist(), strict=True))[:keep]:
                 yield at + k, s, r
@@ -200,15 +202,25 @@ def _assigned(tree: Tree):
     return run
 
 
-def _probing(tree: Tree, visits: int):
+def _probing(tree: Tree, visits: int, shelves: int):
+    """(cid, embedding, shelf, leaves): the leaves that a query visits, by the shelf they stand on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                leaves = [tree.visit(v, visits) for v in _matrix(some.column("embedding"))]
-                take = pa.array([k for k, x in enumerate(leaves) for _ in x], pa.int64())
+                owner, shelf, leaves = [], [], []
+                for k, v in enumerate(_matrix(some.column("embedding"))):
+                    seen = np.sort(np.array(tree.visit(v, visits), np.int64))
+                    on = seen * shelves // tree.leaves
+                    for x in np.unique(on).tolist():
+                        owner.append(k)
+                        shelf.append(x)
+                        leaves.append(seen[on == x].tolist())
+                take = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("cid").take(take), some.column("embedding").take(take), pa.array([x for xs in leaves for x in xs], pa.int32())], names=["cid", "embedding", "leaf"]
+                    [some.column("cid").take(take), some.column("embedding").take(take), pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                    names=["cid", "embedding", "shelf", "leaves"],
                 )
 
     return run
@@ -221,8 +233,13 @@ def _meet(keep: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        ids, cids = left.column("ids").to_pylist(), right.column("asked").to_pylist()
-        got = list(_nearest(_matrix(right.column("asked_embedding")), _matrix(left.column("embedding")), ids, keep))
+        ids, cids, leaves = left.column("ids").to_pylist(), right.column("asked").to_pylist(), right.column("leaves").to_pylist()
+        here, leaf = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
+
+        def visited(start: int, stop: int) -> np.ndarray:
+            return np.stack([np.isin(here, x) for x in leaves[start:stop]])[:, leaf]
+
+        got = list(_nearest(_matrix(right.column("asked_embedding")), _matrix(left.column("embedding")), ids, keep, visited))
         return pa.table([pa.array([cids[q] for q, _, _ in got], types[0]), pa.array([s for _, s, _ in got], types[1]), pa.array([ids[r] for _, _, r in got], types[2])], names=names)
 
     return run
@@ -249,16 +266,21 @@ def nearest(vectors: DataFrame, is_query: Column, conf: Conf = Conf()) -> DataFr
 
     kind = entries.schema["embedding"].dataType.simpleString()
     index = stored(entries.mapInArrow(_assigned(tree), f"cid string, embedding {kind}, ids array<long>, leaf int"), "index")
-    probes = stored(queries.mapInArrow(_probing(tree, visits), f"cid string, embedding {kind}, leaf int"), "probes")
+    # leaves that stand next to each other in the tree share a shelf of about a chunk of entries: a query meets a
+    # shelf once and gets its nearest there, however many of its leaves it visits
+    shelves = max(1, min(tree.leaves, -(-n // conf.chunk)))
+    index = index.withColumn("shelf", F.expr(f"cast(cast(leaf as long) * {shelves} div {tree.leaves} as int)"))
+    probes = stored(queries.mapInArrow(_probing(tree, visits, shelves), f"cid string, embedding {kind}, shelf int, leaves array<int>"), "probes")
     parts = lambda name: F.ceil(F.count("*") / conf.chunk).cast("int").alias(name)
-    # a row for each leaf: as many as the tree, whose size is bounded
-    shape = F.broadcast(index.groupBy("leaf").agg(parts("chunks")).join(probes.groupBy("leaf").agg(parts("blocks")), "leaf"))
+    # a row for each shelf: at most as many as the tree has leaves, which is bounded
+    shape = F.broadcast(index.groupBy("shelf").agg(parts("chunks")).join(probes.groupBy("shelf").agg(parts("blocks")), "shelf"))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(shape, "leaf").withColumn("chunk", deal("cid", "chunks")).withColumn("block", every("blocks")).drop("chunks", "blocks")
-    right = probes.join(shape, "leaf").withColumn("block", deal("cid", "blocks")).withColumn("chunk", every("chunks")).drop("chunks", "blocks")
-    right = right.select(F.col("cid").alias("asked"), F.col("embedding").alias("asked_embedding"), "leaf", "chunk", "block")
-    met = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInArrow(_meet(keep), "cid string, score double, ids array<long>")
+    left = index.join(shape, "shelf").withColumn("chunk", deal("cid", "chunks")).withColumn("block", every("blocks"))
+    left = left.select("shelf", "chunk", "block", "leaf", "embedding", "ids")
+    right = probes.join(shape, "shelf").withColumn("block", deal("cid", "blocks")).withColumn("chunk", every("chunks"))
+    right = right.select(F.col("cid").alias("asked"), F.col("embedding").alias("asked_embedding"), "leaves", "shelf", "chunk", "block")
+    met = left.groupBy("shelf", "chunk", "block").cogroup(right.groupBy("shelf", "chunk", "block")).applyInArrow(_meet(keep), "cid string, score double, ids array<long>")
     best = met.select("cid", "score", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("cid").orderBy("score", "vec_id")
     best = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep * 2).drop("place")
