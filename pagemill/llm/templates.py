@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ class Conf:
 
 _DIGIT = re.compile(rb"[0-9]")
 _LAST = (1 << 63) - 1
-_ROWS = "doc long, text_key long, line_no int, key long, fresh boolean"
+_ROWS = "doc long, text_key long, text_no long, line_no int, key long, fresh boolean"
 
 
 def paths(line: bytes, conf: Conf = Conf()) -> list[bytes]:
@@ -64,19 +65,22 @@ def _keyed(conf: Conf):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc", "text_key", "line_no", "key", "fresh"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc", "text_key", "text_no", "line_no", "key", "fresh"])
 
+        text_no = (TaskContext.get().partitionId() << 33) - 1
         for given in batches:
-            columns = docs, texts, numbers, keys, fresh = [], [], [], [], []
+            columns = docs, texts, text_nos, numbers, keys, fresh = [], [], [], [], [], []
             for doc, text_key, text in zip(given.column("doc").to_pylist(), given.column("text_key").to_pylist(), given.column("text"), strict=True):
                 seen: set[int] = set()
+                text_no += 1
                 for nr, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
                     found = paths(line, conf)
                     for path in found[1:] or found:  # lines on one exact path share all its generalised ones
                         key = h(path) - (1 << 63)
                         docs.append(doc)
                         texts.append(text_key)
+                        text_nos.append(text_no)
                         numbers.append(nr)
                         keys.append(key)
                         fresh.append(key not in seen)
@@ -104,9 +108,13 @@ def recurring_lines(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     # counted by partial aggregates, so a template in very many documents arrives as a row from each task
     often = rows.groupBy("key").agg(F.count_if("fresh").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= conf.least_docs)
     often = stored(often.select("key", "first"), "templates")
-    # an inner join, so that Spark may split a template with very many lines; whose document it is doesn't matter yet
-    hit = rows.select("text_key", "line_no", "key").join(often, "key")
-    return hit.groupBy("text_key").agg(F.collect_set(F.struct("line_no", "first")).alias("hits"))
+    # an inner join, so that Spark may split a template with very many lines; running numbers stand for the texts,
+    # as they take less room in the shuffle than hashes
+    hit = rows.select("text_no", "line_no", "key").join(often, "key")
+    hits = hit.groupBy("text_no").agg(F.collect_set(F.struct("line_no", "first")).alias("hits"))
+    names = rows.select("text_no", "text_key").distinct()
+    # copies of a text have the same hits
+    return hits.join(names, "text_no").groupBy("text_key").agg(F.first("hits").alias("hits"))
 
 
 def deduplicated(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
