@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -36,7 +37,7 @@ _LONG = re.compile(r"[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class Conf:
-    before: int = 64  # characters between a sensitive word and what it makes suspicious
+    before: int = 64  # characters between a sensitive word and what it makes suspicious, on either side
     around: int = 512  # characters of surrounding text on each side
     least_share: float = 0.7  # marginal bytes for each byte of the candidate
     least_symbols: int = 8  # different characters of a candidate
@@ -59,9 +60,26 @@ def _compressor():
     return zstandard.ZstdCompressor(dict_data=data, write_checksum=False, write_content_size=False)
 
 
-def novelty(candidate: str, around: str) -> float:
+@cache
+def _thorough():
+    """Zstandard with an optimal parse, short matches and all words of the vocabulary, which codes most plain words in a few bytes."""
+    import base64
+
+    import public_tokenizers
+    import zstandard
+
+    words = sorted((base64.b64decode(x.split()[0]).strip() for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")), key=len)
+    data = zstandard.ZstdCompressionDict(b" ".join(w for w in words if len(w) >= 4 and w.isalpha()), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters(
+        window_log=20, hash_log=17, chain_log=17, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_checksum=False, write_content_size=False
+    )
+    data.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
+
+
+def novelty(candidate: str, around: str, compressor=_compressor) -> float:
     """Marginal compressed bytes for each byte of the candidate behind its surroundings."""
-    c, lead, data = _compressor(), around.encode("utf-8", "surrogatepass"), candidate.encode()
+    c, lead, data = compressor(), around.encode("utf-8", "surrogatepass"), candidate.encode()
     return (len(c.compress(lead + b"\n" + data)) - len(c.compress(lead + b"\n"))) / max(1, len(data))
 
 
@@ -74,24 +92,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _candidates(text: str, conf: Conf) -> Iterator[tuple[int, int]]:
+    """(start, end) of strings that start shortly after a sensitive word or end shortly before one, by start.
+
+    Strings are whole, wherever the limit falls. One that holds a sensitive word itself is followed by what
+    stands before and after that word in it, which have the word next to them.
+    """
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    if not words:
+        return
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        k, n = bisect_right(ends, a), bisect_left(starts, b)  # words before k end by a; words from n on start at b or later
+        if k and a - ends[k - 1] < conf.before or n < len(words) and starts[n] - b < conf.before:
+            yield a, b
+        inside = [(x, y) for x, y in words[k:n] if a <= x and y <= b]
+        if inside:
+            for x, y in ((a, inside[0][0]), (inside[0][1], b)):
+                if part := _CANDIDATE.fullmatch(text, x, y):
+                    yield part.span()
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], conf: Conf = Conf()) -> list[tuple[int, int, str]]:
-    """Strings with a sensitive word shortly before or inside the same line's lead, new to the compressor and outside base spans."""
+    """Strings near a sensitive word on either side, new to the compressor and outside base spans; they don't overlap."""
     out, done = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), done), word.end() + conf.before):
-            a, b = m.start(), m.end()
-            if b == word.end() + conf.before:  # the window cut it: take the whole string
-                b = _CANDIDATE.match(text, a).end()
-            done = max(done, b)
-            s = text[a:b]
-            if len(set(s)) < conf.least_symbols or any(x < b and a < y for x, y, _ in base):
-                continue
-            # words, names and paths of one case hold neither digits nor changes of case; the compressor decides on the rest
-            if not any(map(str.isdigit, s)) and len(_CASE.findall(s)) < 3:
-                continue
-            around = text[max(0, a - conf.around) : a] + text[b : b + conf.around]
-            if novelty(s, around) >= conf.least_share:
-                out.append((a, b, "novel"))
+    for a, b in _candidates(text, conf):
+        s = text[a:b]
+        if a < done or len(set(s)) < conf.least_symbols or any(x < b and a < y for x, y, _ in base):
+            continue
+        around = text[max(0, a - conf.around) : a] + text[b : b + conf.around]
+        if novelty(s, around) < conf.least_share:
+            continue
+        # a plain word that the quick parse finds new must be new to the thorough one too
+        if any(map(str.isdigit, s)) or len(_CASE.findall(s)) >= 3 or novelty(s, around, _thorough) >= conf.least_share:
+            out.append((a, b, "novel"))
+            done = b
     return out
 
 

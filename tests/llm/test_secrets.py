@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from cases import awkward, documents
@@ -59,3 +60,26 @@ def test_novelty():
     assert secrets.novelty("q8ZrT1xW0pLk93VbNc74YhGd2sJf6MaE", around) > 0.7
     assert secrets.novelty("configuration_environment_client", around) < 0.6
     assert secrets.novelty("q8ZrT1xW0pLk93VbNc74", around + " q8ZrT1xW0pLk93VbNc74 ") < 0.5
+
+
+def test_every_candidate_on_both_sides_is_measured():
+    key = "q8ZrT1xW0pLk93VbNc74YhGd2sJf6MaE"
+    found = lambda text: [text[a:b] for a, b, kind in secrets.scan(text)[1] if kind == "novel"]
+    for one_case in ("wqkzjvmxhtrbpnfd", "WQKZJVMXHTRBPNFD", "MFZWIZLTOQXGKYTBNVHJ"):
+        assert found(f"auth code: {one_case}") == [one_case]
+    assert found(f"{key} # api secret") == [key]
+    prose = " it is read by all of the jobs that run here at night, and by none of those that run by day"
+    for gap in range(2, 70):
+        fill = prose[: gap - 1] + " "
+        met = lambda text: [text[a:b] for a, b in secrets._candidates(text, secrets.Conf())]
+        assert met("credential" + fill + key) == met(key + fill + "credential") == ([key] if gap < 64 else [])
+    assert found("credential" + prose[:58] + " " + key) == [key]
+    assert found(f"see session_id_{key} there") == [f"_{key}"]
+
+
+def test_random_keys_and_plain_words():
+    r = random.Random(3)
+    lead = "the client reads its configuration from the environment before it connects to the auth server: "
+    keys = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for n in (16, 24, 32) for _ in range(30)]
+    assert sum(bool(secrets.novel_spans(lead + k, [])) for k in keys) >= 0.9 * len(keys)
+    assert not any(secrets.novel_spans(lead + w, []) for w in "acknowledgement straightforward documentation internationalization".split())
