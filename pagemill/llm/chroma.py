@@ -3,11 +3,11 @@
 Audio is cut into overlapping frames; each frame's spectrum is folded into twelve pitch classes. Sixteen
 filters compare areas of that picture of pitch classes over time, with sums from an integral image, and give
 two bits each: a 32-bit integer for each frame. Recordings that share audio share integers at one offset:
-a histogram of offsets of equal integers finds it, and the differing bits of all overlapping integers at that
-offset say how well they agree.
+a histogram of offsets of equal integers finds it, and the differing bits of the overlapping integers at that
+offset say how well they agree. Where recordings agree in a passage only, the bits of that passage count.
 
 Searching is by blocks: a block of queries, sorted by integer, meets chunks of recordings, and each meeting
-gives the best few recordings of each query only. So an integer that very many recordings share, as silence
+gives the recordings that align with each query. So an integer that very many recordings share, as silence
 does, costs time in the task that sees it, but no rows. Equal fingerprints are one entry.
 """
 
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.llm.shared import stored
 
@@ -34,9 +33,8 @@ class Conf:
     low: float = 60.0  # Hz
     high: float = 1900.0
     width: int = 16  # frames that the widest filter sees
-    least_votes: int = 4  # equal integers at the best offset
+    least_votes: int = 4  # equal integers at the best offset; recordings of fewer than twice as many need half of theirs
     most_errors: float = 0.35  # share of differing bits at the best offset
-    best: int = 1  # recordings that a query returns
     chunk: int = 1 << 20  # integers of recordings that meet a block
     block: int = 1 << 21  # integers of queries in a block
 
@@ -184,9 +182,51 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
+def _least(x: np.ndarray, starts: np.ndarray, conf: Conf) -> int:
+    """The votes that a recording needs: of a short one half of those that it can give."""
+    return conf.least_votes if len(x) >= 2 * conf.least_votes else min(conf.least_votes, -(-len(starts) // 2))
+
+
+def stretch(a: np.ndarray, b: np.ndarray, offset: int, least: int, conf: Conf) -> tuple[float, int] | None:
+    """(share of differing bits, integers) of the whole overlap, or else of a stretch of it with enough votes; None if neither agrees.
+
+    A stretch is taken where the bits below the allowed errors add up to most; without enough votes there, what
+    stands before and after it is searched.
+    """
+    share, overlap = errors(a, b, offset)
+    if share <= conf.most_errors:
+        return share, overlap
+    lo = max(0, -offset)
+    x, y = a[lo : lo + overlap], b[lo + offset : lo + offset + overlap]
+    bits = np.bitwise_count(x ^ y).astype(np.int64)
+    begun = np.intersect1d(_starts(a) - lo, _starts(b) - lo - offset)
+    begun = begun[(begun >= 0) & (begun < overlap)]
+    votes = np.zeros(overlap + 1, np.int64)
+    votes[begun + 1] = bits[begun] == 0
+    votes = votes.cumsum()
+    total = np.concatenate(([0.0], (32 * conf.most_errors - bits).cumsum()))
+    todo = [(0, overlap)]
+    while todo:
+        i, j = todo.pop()
+        if j <= i or votes[j] - votes[i] < least:
+            continue
+        part = total[i : j + 1]
+        gain = part[1:] - np.minimum.accumulate(part)[:-1]
+        end = int(gain.argmax()) + 1
+        begin = int(part[:end].argmin())
+        if votes[i + end] - votes[i + begin] >= least:
+            return float(bits[i + begin : i + end].mean()) / 32, end - begin
+        todo += [(i + end, j), (i, i + begin)]
+    return None
+
+
 def align(queries: list[np.ndarray], others: list[np.ndarray], conf: Conf, most: int = 1 << 22) -> Iterator[tuple[int, int, int, int, float, int]]:
-    """(query, other, offset, votes, errors, overlap) of pairs with enough equal integers at one offset and few bit errors."""
+    """(query, other, offset, votes, errors, overlap) of pairs with enough equal integers at one offset and few bit errors.
+
+    Of the offsets with enough votes it is the one with most that agrees; overlap counts what was judged.
+    """
     places = [_starts(q) for q in queries]
+    least = np.array([_least(q, p, conf) for q, p in zip(queries, places, strict=True)], np.int64)
     owner = np.repeat(np.arange(len(queries)), [len(p) for p in places])
     values = np.concatenate([q[p] for q, p in zip(queries, places, strict=True)] or [np.empty(0, np.uint32)])
     where = np.concatenate(places or [np.empty(0, np.int64)])
@@ -212,17 +252,18 @@ def align(queries: list[np.ndarray], others: list[np.ndarray], conf: Conf, most:
         if len(found) > 1:
             keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
             votes = np.bincount(back, np.concatenate([v for _, v in found])).astype(np.int64)
-        enough = votes >= conf.least_votes
-        keys, votes = keys[enough], votes[enough]
-        if not len(keys):
-            continue
         who, offset = keys // (2 * span), keys % (2 * span) - span
-        order = np.lexsort((offset, -votes, who))
-        first = order[np.concatenate(([True], who[order][1:] != who[order][:-1]))]
-        for k in first.tolist():
-            share, overlap = errors(queries[who[k]], other, int(offset[k]))
-            if share <= conf.most_errors:
-                yield int(who[k]), nr, int(offset[k]), int(votes[k]), share, overlap
+        need = np.minimum(least[who], _least(other, at, conf))
+        enough = votes >= need
+        who, offset, votes, need = (x[enough] for x in (who, offset, votes, need))
+        done = -1
+        for k in np.lexsort((offset, -votes, who)).tolist():
+            if who[k] == done:
+                continue
+            found_at = stretch(queries[who[k]], other, int(offset[k]), int(need[k]), conf)
+            if found_at:
+                done = who[k]
+                yield int(who[k]), nr, int(offset[k]), int(votes[k]), *found_at
 
 
 def _meet(conf: Conf):
@@ -233,27 +274,23 @@ def _meet(conf: Conf):
             return schema.empty_table()
         ints = lambda column: [np.frombuffer(x, "<u4") for x in column.to_pylist()]
         names, asked = left.column("cid").to_pylist(), right.column("asked_cid").to_pylist()
-        best: dict[int, list[tuple]] = {}
+        rows = []
         for q, o, *rest in align(ints(right.column("asked_fp")), ints(left.column("fp")), conf):
             if asked[q] != names[o]:
-                offset, votes, share, overlap = rest
-                kept = best.setdefault(q, [])
-                kept.append((-votes, share, names[o], offset, overlap))
-                if len(kept) > 4 * conf.best:
-                    kept.sort()
-                    del kept[conf.best :]
-        rows = [(asked[q], other, offset, -votes, share, overlap) for q, kept in best.items() for votes, share, other, offset, overlap in sorted(kept)[: conf.best]]
+                rows.append((asked[q], names[o], *rest))
         return pa.table([pa.array([r[k] for r in rows], schema.types[k]) for k in range(6)], schema=schema)
 
     return run
 
 
 def matches(prints: DataFrame, ids: list[str], is_query: Column, conf: Conf = Conf()) -> DataFrame:
-    """(ids..., copies, match, offset, votes, bit_errors, overlap) for each query row of (ids..., fp).
+    """(ids..., copies, match, offset, votes, bit_errors, overlap, n_matches, matches) for each query row of (ids..., fp).
 
-    copies: rows whose fingerprint equals the query's, itself included. match: the ids, smallest first, of the
-    best other fingerprint as a struct, by votes, then fewer bit errors; ``offset`` is where its integer stands
-    against the query's first. No other recording agrees: nulls. Null fingerprints match nothing, with 0 copies.
+    copies: rows whose fingerprint equals the query's, itself included. matches: every other fingerprint that
+    agrees, n_matches of them, by votes, then fewer bit errors, each as (match, offset, votes, bit_errors,
+    overlap, copies) with its own number of rows. match: the ids, smallest first, of one as a struct;
+    ``offset`` is where its integer stands against the query's first. The columns before n_matches are those of
+    the best one. No other recording agrees: nulls, and no matches. Null fingerprints match nothing, with 0 copies.
     Repeated rows are copies of each other; an empty table gives no rows.
     """
     name = F.struct(*(F.col(c) for c in ids))
@@ -269,13 +306,23 @@ def matches(prints: DataFrame, ids: list[str], is_query: Column, conf: Conf = Co
     met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(
         _meet(conf), "cid string, other string, offset int, votes int, errors double, overlap int"
     )
-    w = Window.partitionBy("cid").orderBy(F.desc("votes"), "errors", "other")
-    best = met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= conf.best)
-    named = entries.select(F.col("cid").alias("other"), F.col("least").alias("match"))
-    best = best.join(named, "other").select("cid", "match", "offset", "votes", F.col("errors").alias("bit_errors"), "overlap")
+    named = entries.select(F.col("cid").alias("other"), F.col("least").alias("match"), "copies")
+    found = met.join(named, "other")
+    # sorts by votes, most first, then errors, then fingerprint
+    each = F.struct((-F.col("votes")).alias("rank"), F.col("errors").alias("bit_errors"), "other", "match", "offset", "votes", "overlap", "copies")
+    fields = ("match", "offset", "votes", "bit_errors", "overlap", "copies")
+    all_of = F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    links = found.groupBy("cid").agg(all_of.alias("matches"))
     asked = prints.where(is_query).select(*ids, F.md5("fp").alias("cid"))
-    got = asked.join(entries.where("asked").select("cid", "copies"), "cid", "left").join(best, "cid", "left")
-    return got.select(*ids, F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), "match", "offset", "votes", "bit_errors", "overlap")
+    got = asked.join(entries.where("asked").select("cid", "copies"), "cid", "left").join(links, "cid", "left")
+    best = F.get("matches", F.lit(0))
+    return got.select(
+        *ids,
+        F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
+        *(best[f].alias(f) for f in fields[:-1]),
+        F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"),
+        F.coalesce("matches", F.array().cast(found.select(F.array(F.struct(*(F.col("errors").alias(f) if f == "bit_errors" else F.col(f) for f in fields)))).schema[0].dataType)).alias("matches"),
+    )
 
 
 # --- stand-in media ---------------------------------------------------------------------------------

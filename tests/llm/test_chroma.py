@@ -100,3 +100,41 @@ def test_query(spark):
     from pyspark.sql import functions as F
 
     assert chroma.matches(chroma.fingerprints(chroma.sonified(empty, ["conv_id", "turn"])), ["conv_id", "turn"], F.lit(True)).count() == 0
+
+
+def test_all_matches_short_recordings_and_passages(spark):
+    from pyspark.sql import functions as F
+
+    song, other, third = words(3, 60), words(4, 60), words(6, 40)
+    rows = [(0, audio(song + other)), (1, audio(song)), (2, audio(other)), (3, audio(other)), (4, audio(words(5, 60)))]
+    rows += [(20, audio(song[10:20])), (60, audio(words(12, 5)))]  # two integers, one
+    rows += [(40, audio(words(7, 150) + third + words(8, 150))), (41, audio(words(9, 200) + third + words(10, 200)))]
+    prints = chroma.fingerprints(table(spark, rows))
+    for conf in (CONF, chroma.Conf(chunk=300, block=150)):
+        got = {r.rec: r for r in chroma.matches(prints, ["rec"], F.col("rec") % 20 == 0, conf).collect()}
+        assert sorted((m.match.rec, m.copies) for m in got[0].matches) == [(1, 1), (2, 2), (20, 1)] and got[0].n_matches == 3
+        first = got[0].matches[0]
+        assert (got[0].match, got[0].offset, got[0].votes, got[0].bit_errors, got[0].overlap) == (first.match, first.offset, first.votes, first.bit_errors, first.overlap)
+        assert sorted((m.match.rec, m.offset, m.votes) for m in got[20].matches) == [(0, 20, 2), (1, 20, 2)] and got[60].n_matches == 0
+        assert [m.match.rec for m in got[40].matches] == [41] and got[40].offset == 100 and 40 <= got[40].overlap <= 120
+
+
+def test_short_recordings_align():
+    a, b = np.array([7, 9], np.uint32), np.array([1, 2, 3, 7, 9, 4, 5], np.uint32)
+    assert list(chroma.align([a], [b], CONF)) == list(chroma.align([a], [b], chroma.Conf(most_errors=0.0))) == [(0, 0, 3, 2, 0.0, 2)]
+    assert list(chroma.align([np.array([7, 1 << 31], np.uint32)], [b[:3]], CONF)) == []
+
+
+def test_stretch():
+    r = np.random.default_rng(11)
+    a, b = (r.integers(0, 1 << 32, 300).astype(np.uint32) for _ in range(2))
+    b[150:180] = a[120:150]
+    assert chroma.errors(a, b, 30)[0] > 0.35
+    share, n = chroma.stretch(a, b, 30, 4, CONF)
+    assert share <= 0.05 and 30 <= n <= 36
+    b[150:180:2] ^= np.uint32(1)
+    assert chroma.stretch(a, b, 30, 4, CONF)[1] >= 30 and chroma.stretch(a, b, 30, 40, CONF) is None
+    scattered = b.copy()
+    scattered[150:180] = r.integers(0, 1 << 32, 30)
+    scattered[[40, 100, 190, 280]] = a[[10, 70, 160, 250]]
+    assert chroma.stretch(a, scattered, 30, 4, CONF) is None
