@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample; every vector is then put into a leaf. A
 priority queue: it goes down to the nearest leaf, keeps the branches it passed with their distances, and goes
 on with the nearest of them. How many leaves it visits is calibrated: for some queries the true neighbours are
 found by comparing with all vectors, and visits are widened until the wanted share of them lies in visited
-leaves.
+leaves. A query whose leaves hold too few candidates goes on to the next leaves until they hold enough.
 
 Equal vectors are one entry with its smallest ids, as no query can have more than those among its nearest.
 Leaves with many entries are searched in chunks, so no task holds a leaf whole.
@@ -78,10 +78,10 @@ class Tree:
             todo += [(child, some[owner == k]) for k, child in enumerate(self.children[node]) if (owner == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first search."""
-        found, queue = [], [(0.0, 0)]
-        while queue and len(found) < most:
+    def visit(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first search: ``most`` of them, and on until they hold ``least`` by ``sizes``."""
+        found, queue, held = [], [(0.0, 0)], 0
+        while queue and (len(found) < most or sizes is not None and held < least):
             _, node = heapq.heappop(queue)
             while self.centres[node] is not None:
                 far = _distances(query[None], self.centres[node])[0]
@@ -90,6 +90,7 @@ class Tree:
                     heapq.heappush(queue, (float(far[k]), self.children[node][k]))
                 node = self.children[node][int(order[0])]
             found.append(self.leaf[node])
+            held += 0 if sizes is None else int(sizes[found[-1]])
         return found
 
 
@@ -202,7 +203,7 @@ def _assigned(tree: Tree):
     return run
 
 
-def _probing(tree: Tree, visits: int, shelves: int):
+def _probing(tree: Tree, visits: int, shelves: int, sizes: np.ndarray, least: int):
     """(cid, embedding, shelf, leaves): the leaves that a query visits, by the shelf they stand on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def _probing(tree: Tree, visits: int, shelves: int):
                 some = batch.slice(at, 256)
                 owner, shelf, leaves = [], [], []
                 for k, v in enumerate(_matrix(some.column("embedding"))):
-                    seen = np.sort(np.array(tree.visit(v, visits), np.int64))
+                    seen = np.sort(np.array(tree.visit(v, visits, sizes, least), np.int64))
                     on = seen * shelves // tree.leaves
                     for x in np.unique(on).tolist():
                         owner.append(k)
@@ -259,6 +260,9 @@ def nearest(vectors: DataFrame, is_query: Column, conf: Conf = Conf()) -> DataFr
     asked = stored(rows.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), "cid").distinct(), "queries")
     queries = entries.select("cid", "embedding").join(asked.select("cid").distinct(), "cid", "left_semi")
     n = entries.count()
+    # an id with several vectors is in as many entries; so many entries hold at least ``keep`` ids
+    repeats = entries.select(F.explode("ids").alias("vec_id")).groupBy("vec_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    least = keep * repeats
     thin = F.pmod(F.xxhash64("cid"), F.lit(max(1, n // conf.sample_rows))) == 0
     sample = [r.embedding for r in entries.where(thin).orderBy("cid").limit(conf.sample_rows).select("embedding").collect()]
     tree = Tree(np.array(sample, np.float64), conf) if sample else Tree(np.empty((0, 1)), conf)
@@ -270,7 +274,11 @@ def nearest(vectors: DataFrame, is_query: Column, conf: Conf = Conf()) -> DataFr
     # shelf once and gets its nearest there, however many of its leaves it visits
     shelves = max(1, min(tree.leaves, -(-n // conf.chunk)))
     index = index.withColumn("shelf", F.expr(f"cast(cast(leaf as long) * {shelves} div {tree.leaves} as int)"))
-    probes = stored(queries.mapInArrow(_probing(tree, visits, shelves), f"cid string, embedding {kind}, shelf int, leaves array<int>"), "probes")
+    # a number for each leaf, of which the tree has at most as many as its sample has rows
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        sizes[r.leaf] = r.n
+    probes = stored(queries.mapInArrow(_probing(tree, visits, shelves, sizes, least), f"cid string, embedding {kind}, shelf int, leaves array<int>"), "probes")
     parts = lambda name: F.ceil(F.count("*") / conf.chunk).cast("int").alias(name)
     # a row for each shelf: at most as many as the tree has leaves, which is bounded
     shape = F.broadcast(index.groupBy("shelf").agg(parts("chunks")).join(probes.groupBy("shelf").agg(parts("blocks")), "shelf"))
@@ -280,10 +288,10 @@ def nearest(vectors: DataFrame, is_query: Column, conf: Conf = Conf()) -> DataFr
     left = left.select("shelf", "chunk", "block", "leaf", "embedding", "ids")
     right = probes.join(shape, "shelf").withColumn("block", deal("cid", "blocks")).withColumn("chunk", every("chunks"))
     right = right.select(F.col("cid").alias("asked"), F.col("embedding").alias("asked_embedding"), "leaves", "shelf", "chunk", "block")
-    met = left.groupBy("shelf", "chunk", "block").cogroup(right.groupBy("shelf", "chunk", "block")).applyInArrow(_meet(keep), "cid string, score double, ids array<long>")
+    met = left.groupBy("shelf", "chunk", "block").cogroup(right.groupBy("shelf", "chunk", "block")).applyInArrow(_meet(least), "cid string, score double, ids array<long>")
     best = met.select("cid", "score", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("cid").orderBy("score", "vec_id")
-    best = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep * 2).drop("place")
+    best = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= least * 2).drop("place")
     pairs = asked.join(best, "cid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= conf.neighbours).select("query_id", "rank", "vec_id", "score")

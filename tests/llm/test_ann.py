@@ -68,3 +68,28 @@ def test_tree_visits_every_leaf_once():
     order = tree.visit(rows[3], 10_000)
     assert sorted(order) == list(range(tree.leaves)) and order[0] == tree.assign(rows[3:4])[0]
     assert ann.Tree(np.ones((100, 3))).leaves == 1
+
+
+def test_no_query_has_too_few(spark):
+    """Few visits, small leaves, outliers and ids with many vectors: ten rows wherever there are ten candidates."""
+    r = np.random.default_rng(5)
+    rows = [(k, (r.normal(size=4) / 50 + 9 * (k % 3)).astype(np.float32).tolist()) for k in range(1, 240) if k % 100]
+    rows += [(100 * k, [1000.0 * (k + 1), -500.0 * k, 7.0, 1.0]) for k in range(4)]
+    conf = ann.Conf(leaf_sample=4, recall=0.01)
+    got = by_query(ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, conf))
+    assert {q: len(x) for q, x in got.items()} == {0: 10, 100: 10, 200: 10, 300: 10}
+    rows = [(k, r.normal(size=4).astype(np.float32).tolist()) for k in range(40)] + [(k, (1 + r.normal(size=4) / 1000).astype(np.float32).tolist()) for k in (50, 100) for _ in range(30)]
+    got = by_query(ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, ann.Conf(leaf_sample=5, recall=1.0, chunk=16)))
+    want = brute(rows, lambda i: i % 100 == 0, 10_000)
+    assert got[0][:1] == want[0][:1] and len(got[0]) == len({v for _, v in got[0]}) == len(got[100]) == 10
+
+
+def test_visits_go_on_until_enough():
+    r = np.random.default_rng(0)
+    rows = r.normal(size=(500, 8))
+    tree = ann.Tree(rows)
+    sizes = np.bincount(tree.assign(rows), minlength=tree.leaves)
+    order = tree.visit(rows[3], tree.leaves)
+    for least in (1, 60, 200, 500, 10_000):
+        found = tree.visit(rows[3], 1, sizes, least)
+        assert found == order[: len(found)] and (sizes[found].sum() >= least or len(found) == tree.leaves) and sizes[found[:-1]].sum() < least
