@@ -28,7 +28,6 @@ from pagemill.llm.shared import shared_folder, stored
 
 MAGIC = b"\x1f\x8b\x08"
 MOST_TASKS = 20_000
-_HEAD_MOST = 1 << 16  # bytes of a WARC header block at most
 _FILES = "path string, size long, records long"
 _SPLITS = "path string, size long, start long, stop long"
 RECORDS = (
@@ -168,36 +167,29 @@ def _headers(block: bytes) -> dict[str, str]:
 
 def _read_member(source: _Source, start: int) -> tuple[int, bytes, dict[str, str]] | None:
     """(end, block, headers) of the record at ``start``; None if what starts there isn't one."""
-    z, parts, at, got, head = zlib.decompressobj(31), [], start, 0, None
+    z, whole, at, head, body = zlib.decompressobj(31), bytearray(), start, None, 0
     try:
         while not z.eof:
             data = source.piece(at)
             if not data:
                 return None  # cut off
-            out = z.decompress(data)
+            seen = max(0, len(whole) - 3)
+            whole += z.decompress(data)
             at += len(data) - len(z.unused_data)
-            parts.append(out)
-            got += len(out)
-            if head is None:  # judge a candidate by its first bytes, before reading all of it
-                begun = parts[0] if len(parts) == 1 else b"".join(parts)
-                if not begun.startswith(b"WARC/1."[: len(begun)]):
-                    return None
-                end = begun.find(b"\r\n\r\n")
-                if end < 0 and got > _HEAD_MOST:
+            if head is None:  # judge a candidate by its first bytes, before reading all of it; a header block may have any length
+                if not whole.startswith(b"WARC/1."[: len(whole)]):
                     return None
+                end = whole.find(b"\r\n\r\n", seen)
                 if end >= 0:
-                    head = _headers(begun[:end])
+                    head, body = _headers(bytes(whole[:end])), end + 4
                     if "warc-type" not in head or not head.get("content-length", "").isdigit():
                         return None
-                parts = [begun]
     except zlib.error:
         return None
     if head is None:
         return None
-    whole = b"".join(parts)
-    body = whole.find(b"\r\n\r\n") + 4
     n = int(head["content-length"])
-    return (at, whole[body : body + n], head) if len(whole) >= body + n else None
+    return (at, bytes(whole[body : body + n]), head) if len(whole) >= body + n else None
 
 
 def records_in(file, size: int, start: int, stop: int) -> Iterator[tuple[int, int, bytes, dict[str, str]]]:
@@ -234,7 +226,7 @@ def _reader(splits: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         cut = block.find(b"\r\n\r\n")
                         http, payload = block[: cut + 2].decode("latin-1"), block[cut + 4 :]
                     rows.append((split["path"], at, end, head["warc-type"], head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("content-type"), http, payload, digest(payload)))
-                    held += len(payload)
+                    held += len(payload) + len(http) + sum(map(len, head.values()))
                     if held > 4 << 20 or len(rows) >= 2000:
                         yield batch(rows)
                         rows, held = [], 0
@@ -255,19 +247,33 @@ def read_archives(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     return splits.repartition(max(1, min(MOST_TASKS, splits.count()))).mapInArrow(_reader, RECORDS)
 
 
+def check_counts(files: DataFrame, rows: DataFrame) -> None:
+    """Raises where ``rows`` (path, ...) aren't as many of each archive as the manifest (path, records) says."""
+    read = rows.groupBy("path").agg(F.count("*").alias("got"))
+    wrong = files.select("path", "records").join(read, "path", "left").where(F.coalesce("got", F.lit(0)) != F.col("records")).first()
+    if wrong:
+        raise RuntimeError(f"{wrong.path}: {wrong.got or 0} of {wrong.records} records read")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 64 << 20, split_bytes: int = 4 << 20) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of pages written to archives and read back.
 
     A response's figures come from the payload that was read; a revisit has none, so they come from its headers.
+    As many records must be read as were written.
     """
-    got = read_archives(write_archives(pages, archive_bytes=archive_bytes, least_bytes=least_bytes), split_bytes)
+    files = write_archives(pages, archive_bytes=archive_bytes, least_bytes=least_bytes)
+    got = read_archives(files, split_bytes)
     page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("")).cast("long")
     response = F.col("type") == "response"
     declared = F.regexp_extract("http_head", r"(?i)\r\ncontent-length: *(\d+)", 1)
-    return got.select(
+    rows = got.select(
+        "path",
         page("record_id").alias("page_id"),
         F.when(response, F.octet_length("payload")).otherwise(F.nullif(declared, F.lit("")).cast("long")).cast("long").alias("payload_bytes"),
         F.when(response, F.col("payload_digest")).otherwise(F.replace("declared_digest", F.lit("sha1:"), F.lit(""))).alias("payload_digest"),
         F.col("type").alias("record_type"),
         page("refers_to").alias("refers_to"),
     )
+    rows = stored(rows, "records")
+    check_counts(files, rows)
+    return rows.drop("path")

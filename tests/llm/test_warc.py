@@ -2,6 +2,7 @@ import gzip
 import io
 import random
 
+import pytest
 from oracle import SF, compare
 
 from pagemill.llm import queries, warc
@@ -77,3 +78,24 @@ def test_stored_members_and_other_writers(spark, tmp_path):
     files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, size long")
     got = warc.read_archives(files, 50).orderBy("offset").collect()
     assert [bytes(r.payload) for r in got] == [b"hello", b"hello"] and got[0].next_offset == got[1].offset
+
+
+def test_long_urls(spark):
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/é"
+    url = lambda n: "data:text/html;base64," + "".join(r.choices(letters, k=n))
+    rows = [(k, url(n), f"page {k}") for k, n in enumerate((10, 70_000, 400_000, 80_000, 900_000, 90_000, 100_000, 5))]
+    got = warc.round_trip(pages(spark, rows, 1)).collect()
+    assert sorted((x.page_id, x.payload_bytes, x.payload_digest, x.record_type) for x in got) == [(k, 6, warc.digest(h.encode()), "response") for k, _, h in rows]
+    data = b"".join(warc.record(k, k, u, h.encode(), None) for k, u, h in rows)
+    for size in (50_000, len(data)):
+        assert [x[1] for x in records(data, size)] == [f"<urn:page:{k}:{k}>" for k in range(len(rows))]
+
+
+def test_counts_are_compared(spark):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "path string")
+    files = lambda *x: spark.createDataFrame(x, "path string, size long, records long")
+    warc.check_counts(files(("a", 9, 2), ("b", 9, 1)), rows)
+    for wrong in (("a", 9, 3), ("c", 9, 1)):
+        with pytest.raises(RuntimeError):
+            warc.check_counts(files(wrong), rows)
