@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents and their places in sequences."""
-    return best_two_fit.packed(docs)
+    return best_two_fit.packed(docs, literals=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

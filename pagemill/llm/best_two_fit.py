@@ -33,10 +33,10 @@ def cuts(tokens: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(a, (first if k == 0 and first else length)) for k, a in enumerate(starts)]
 
 
-def encoded(texts: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[int, bytes]]:
+def encoded(texts: pa.Array, path: str, end_id: int | None, literals: bool = False) -> Iterator[tuple[int, bytes]]:
     """(row, little-endian unsigned 32-bit ids) of whole texts, a few MB of text at a time."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    encoder, at, n = Encoder.get(path), 0, len(texts)
+    encoder, at, n = Encoder.get(path, literals), 0, len(texts)
     while at < n:
         some, held = [], 0
         while at + len(some) < n and held < 4 << 20:
@@ -47,14 +47,14 @@ def encoded(texts: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[in
         at += len(some)
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, literals: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of (doc_id, text); a null text is an empty one and has the end id only."""
     path = path or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), []
-            for k, ids in encoded(batch.column("text"), path, end_id):
+            for k, ids in encoded(batch.column("text"), path, end_id, literals):
                 for nr, (start, n) in enumerate(cuts(len(ids) // 4, length)):
                     data = ids[4 * start : 4 * (start + n)]
                     rows.append((names[k], nr, start, n, zlib.crc32(data), *([data] if with_ids else [])))
@@ -163,13 +163,13 @@ def _pack_shard(capacity: int):
     return run
 
 
-def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False, literals: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): all pieces and their places.
 
     Null and empty texts are a piece of one token. Repeated rows, and rows that share an id, are documents of
-    their own. An empty table gives no rows; columns besides doc_id and text play no part.
+    their own. An empty table gives no rows; columns besides doc_id and text play no part. ``literals``: as in ``bpe``.
     """
-    rows = stored(pieces(docs, path, length, end_id, with_ids), "pieces")
+    rows = stored(pieces(docs, path, length, end_id, with_ids, literals), "pieces")
     shards = max(1, -(-rows.count() // shard_pieces))
     # by row number: rows that are alike in everything spread as well
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))

@@ -3,6 +3,9 @@
 Texts of characters whose classes have long been settled go through ``tiktoken`` with the ranks of the same
 vocabulary, which is several times as fast; all other texts go through ``tokenizers`` itself, since the two
 libraries may follow different Unicode versions.
+
+``literals``: whether an added token's string in a text is that token, as ``tokenizers`` has it where nothing
+is set; else its string is ordinary text.
 """
 
 from __future__ import annotations
@@ -31,33 +34,36 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Encodes whole texts; one for each Python worker and vocabulary."""
+    """Encodes whole texts; one for each Python worker, vocabulary and setting."""
 
-    _one: dict[str, Encoder] = {}
+    _one: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literals: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._whole.encode_special_tokens = not literals
         vocabulary = json.loads(self._whole.to_str())["model"]["vocab"]
         letters, added = _byte_letters(), {t.content for t in self._whole.get_added_tokens_decoder().values()}
+        self._literals = sorted(added) if literals else []
         ranks = {bytes(letters[c] for c in word): k for word, k in vocabulary.items() if word not in added}
         self._ranks = tiktoken.Encoding("ranks", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
-    def get(cls, path: str) -> Encoder:
-        if path not in cls._one:
-            cls._one[path] = cls(path)
-        return cls._one[path]
+    def get(cls, path: str, literals: bool = False) -> Encoder:
+        if (path, literals) not in cls._one:
+            cls._one[path, literals] = cls(path, literals)
+        return cls._one[path, literals]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for null and for the empty text."""
         return [self._ids(t) if t else b"" for t in texts]
 
     def _ids(self, text: str) -> bytes:
+        if any(x in text for x in self._literals):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not _UNSETTLED.search(text):
             return np.asarray(self._ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

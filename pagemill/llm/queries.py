@@ -27,7 +27,7 @@ def op2_langid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_best_two_fit(spark: SparkSession, d: str) -> DataFrame:
-    return best_two_fit.packed(_table(spark, d, "documents"))
+    return best_two_fit.packed(_table(spark, d, "documents"), literals=True)
 
 
 def op4_chroma(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, d: str) -> DataFrame:
-    return token_output.read_matrices(token_output.write_matrices(_table(spark, d, "documents")))
+    return token_output.read_matrices(token_output.write_matrices(_table(spark, d, "documents"), literals=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -118,10 +118,11 @@ def archive(segments: list[tuple[int | None, int, int, bytes]], length: int, fil
     return out.getvalue(), n
 
 
-def write_matrices(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_matrices(docs: DataFrame, folder: str | None = None, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, literals: bool = False) -> DataFrame:
     """Files for (doc_id, text) as (path, number, rows, tokens); ``number`` is unique. A null text is an empty one and has the end id only.
 
     Rows that repeat or share an id are documents of their own; no rows give no files. Other columns play no part.
+    ``literals``: as in ``bpe``.
     """
     folder, path = folder or shared_folder(docs.sparkSession, "tokens"), path or default_vocabulary()
 
@@ -140,7 +141,7 @@ def write_matrices(docs: DataFrame, folder: str | None = None, path: str | None
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for k, ids in encoded(batch.column("text"), path, end_id):
+            for k, ids in encoded(batch.column("text"), path, end_id, literals):
                 for piece, (a, n) in enumerate(split(len(ids) // 4, length)):
                     held.append((names[k], piece, a, ids[4 * a : 4 * (a + n)]))
                     tokens += n

@@ -150,3 +150,18 @@ def test_matrices(spark, tmp_path):
 def test_matrix_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     check(queries.op10_token_output(spark, SF).collect(), [tuple(d) for d in docs], 2048)
+
+
+def test_queries_follow_an_unmodified_tokenizer(spark, tmp_path):
+    """The queries and the pipeline's stage give an added token's literal the one id that the tokenizer gives it."""
+    import corpus_pipeline
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    texts = [*TEXTS, "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "日本 <|endoftext|>é", "<|endoftext| >", "\x1c<|endoftext|>"]
+    for text, got in zip(texts, Encoder(default_vocabulary(), literals=True).encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(k, crc([*plain.encode(t, add_special_tokens=False).ids, 0])) for k, t in enumerate(texts)}
+    for query in (queries.op3_best_two_fit, queries.op10_token_output, lambda s, d: corpus_pipeline.packing(s, docs, d)):
+        assert {(r.doc_id, r.ids_crc32) for r in query(spark, str(tmp_path)).collect()} == want
