@@ -2,7 +2,8 @@
 
 Texts of characters whose classes have long been settled go through ``tiktoken`` with the ranks of the same
 vocabulary, which is several times as fast; all other texts go through ``tokenizers`` itself, since the two
-libraries may follow different Unicode versions.
+libraries may follow different Unicode versions. So do texts with a very long run of white space, for which
+``tiktoken``'s pattern runs out of its stack, and any other text that ``tiktoken`` gives up on.
 
 ``literals``: whether an added token's string in a text is that token, as ``tokenizers`` has it where nothing
 is set; else its string is ordinary text.
@@ -23,6 +24,9 @@ _UNSETTLED = re.compile(
     "[^\\x00-\\x1b\\x20-\\x84\\x86-\\u04ff\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20b5\\u2190-\\u21ff\\u3001-\\u3003\\u3008-\\u3011\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3\\U0001f300-\\U0001f320\\U0001f600-\\U0001f640]"
 )
 
+# Runs of white space this long are measured, and those over the limit are left to ``tokenizers``.
+_RUN, _LONGEST_RUN = re.compile(r"\s{64,}"), 50_000
+
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text into pieces.
 _PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,12 +66,20 @@ class Encoder:
         return [self._ids(t) if t else b"" for t in texts]
 
     def _ids(self, text: str) -> bytes:
-        if any(x in text for x in self._literals):
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not _UNSETTLED.search(text):
-            return np.asarray(self._ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        if self._quick(text):
+            try:
+                return np.asarray(self._ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+            except ValueError:  # its pattern gave up; the text is not to blame
+                pass
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _quick(self, text: str) -> bool:
+        if any(x in text for x in self._literals):
+            return False
+        if not (text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f")) and _UNSETTLED.search(text):
+            return False
+        return len(text) <= _LONGEST_RUN or all(m.end() - m.start() <= _LONGEST_RUN for m in _RUN.finditer(text))
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable bytes stand for themselves, the rest from 256 on."""

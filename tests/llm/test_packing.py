@@ -165,3 +165,27 @@ def test_queries_follow_an_unmodified_tokenizer(spark, tmp_path):
     want = {(k, crc([*plain.encode(t, add_special_tokens=False).ids, 0])) for k, t in enumerate(texts)}
     for query in (queries.op3_best_two_fit, queries.op10_token_output, lambda s, d: corpus_pipeline.packing(s, docs, d)):
         assert {(r.doc_id, r.ids_crc32) for r in query(spark, str(tmp_path)).collect()} == want
+
+
+def test_long_runs_equal_an_unmodified_tokenizer(spark):
+    """Runs of white space over which a backtracking pattern runs out of its stack, alone, mixed and inside a document."""
+    plain, encoder = Tokenizer.from_file(default_vocabulary()), Encoder(default_vocabulary(), literals=True)
+    n = 1_000_000
+    texts = [" " * n + "a", "x" + " " * n, " " * 5_000_000, "\t" * n + "b", "\n" * n, " \t\r\n" * (n // 4) + "c", "a" + "\n " * (n // 2) + "<|endoftext|>" + " " * n]
+    texts += [("w" + " " * 50_001) * 3, ("w" + " " * 49_999) * 3, "\x1c" * 60_000, "\u3000" * 60_000 + "日", "a" * n, "é" * 200_000]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (text[:3], len(text))
+    rows = [(k, t, "en", "a") for k, t in enumerate((" " * n + "a", "b", "\n" * n))]
+    for got in (best_two_fit.packed(documents(spark, rows)), token_output.read_matrices(token_output.write_matrices(documents(spark, rows)))):
+        check(got.collect(), rows, 2048)
+
+
+def test_a_text_that_the_quick_library_gives_up_on(monkeypatch):
+    encoder = Encoder(default_vocabulary())
+
+    class GivesUp:
+        def encode_to_numpy(self, *_, **__):
+            raise ValueError("Max stack size exceeded for backtracking")
+
+    monkeypatch.setattr(encoder, "_ranks", GivesUp())
+    assert np.frombuffer(encoder.encode(["plain words"])[0], "<u4").tolist() == ids("plain words")
