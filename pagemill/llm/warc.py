@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,54 +76,61 @@ def record(page_id: int | None, uid: int, url: str | None, payload: bytes, refer
 
 
 def _writer(folder: str, archive_bytes: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
         out, path, size, n = None, "", 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pylist([{"path": f"{folder}/{path}", "size": size, "records": n}])
+
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            pages, urls, uids, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "uid", "refers"))
+            for page, url, html, uid, refers_to in zip(pages, urls, batch.column("html"), uids, refers, strict=True):
                 if out is None:
                     path, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{path}", compression=None)
-                # a null page id among numbers reads as NaN
-                page = None if row.page_id is None or row.page_id != row.page_id else int(row.page_id)
-                url = row.url if isinstance(row.url, str) else None
-                payload = row.html.encode("utf-8", "surrogatepass") if isinstance(row.html, str) else b""
-                refers = row.refers if isinstance(row.refers, str) else None
-                data = record(page, int(row.uid), url, payload, refers)
+                data = record(page, uid, url, html.as_buffer().to_pybytes(), refers_to)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= archive_bytes:
-                    out.close()
+                    yield closed()
                     out = None
-                    yield pd.DataFrame([(f"{folder}/{path}", size, n)], columns=["path", "size", "records"])
         if out is not None:
-            out.close()
-            yield pd.DataFrame([(f"{folder}/{path}", size, n)], columns=["path", "size", "records"])
+            yield closed()
 
     return write
 
 
+def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(key, page_id, url, html, uid, top) of (page_id, url, html): ``top`` has the id and row number of the payload's response.
+
+    ``uid`` numbers the rows, which asks for an input that reads the same each time, as tables do.
+    """
+    rows = pages.withColumn("uid", F.monotonically_increasing_id())
+    # short payloads get a key of their own each, so they neither meet nor crowd one task
+    key = F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))).otherwise(F.concat(F.lit("row:"), "uid"))
+    rows = rows.withColumn("key", key)
+    # partial aggregates: a payload that a third of the pages share arrives as a row from each task
+    top = rows.groupBy("key").agg(F.max(F.struct("page_id", "uid")).alias("top"))
+    # stored first: both sides of the join then are plain exchanges, and Spark splits the payload that has too many rows
+    return rows.join(stored(top, "responses"), "key")
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 1 << 30, least_bytes: int = 0) -> DataFrame:
     """Archives of (page_id, url, html) as (path, size, records); the payload is the html in UTF-8, null an empty one.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest page_id (null is
     less than all) becomes a response and the others revisit it; smaller ones are all responses. Of repeated
-    rows with that page_id one is chosen by row number, which asks for an input that reads the same each
-    time, as tables do. No rows: no archives. Further columns are ignored.
+    rows with that page_id one is chosen by row number. Payloads and urls may have any length that a row can
+    have; a record is compressed in memory. No rows: no archives. Further columns are ignored.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.monotonically_increasing_id().alias("uid"))
-    # short payloads get a key of their own each, so they neither meet nor crowd one task
-    key = F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))).otherwise(F.concat(F.lit("row:"), "uid"))
-    rows = rows.withColumn("key", key)
-    # partial aggregates: a payload that a third of the pages share arrives as a row from each task
-    top = rows.groupBy("key").agg(F.max(F.struct("page_id", "uid")).alias("top"))
-    # a plain inner join on the key, so that Spark may split the payload that has too many rows
-    joined = rows.join(top, "key")
+    joined = with_responses(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")), least_bytes)
     name: Column = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("top.page_id").cast("string"), F.lit("")), F.lit(":"), F.col("top.uid"), F.lit(">"))
     refers = F.when(F.col("uid") != F.col("top.uid"), name)
-    done = joined.select("page_id", "url", "html", "uid", refers.alias("refers")).mapInPandas(_writer(folder, archive_bytes), _FILES)
+    done = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "uid", refers.alias("refers")).mapInArrow(_writer(folder, archive_bytes), _FILES)
     return stored(done, "archives")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from oracle import SF, compare
+from pyspark.sql import functions as F
 
 from pagemill.llm import queries, warc
 
@@ -99,3 +100,31 @@ def test_counts_are_compared(spark):
     for wrong in (("a", 9, 3), ("c", 9, 1)):
         with pytest.raises(RuntimeError):
             warc.check_counts(files(wrong), rows)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "a", "x"), (None, "b", "y"), (big + 2, "c", "z"), (-big, "d", "x"), ((1 << 63) - 1, "e", "z"), (-(1 << 63), "f", "w")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows, 1)).collect()), key=repr)
+    want = [(big, "response", None), (None, "response", None), (big + 2, "revisit", (1 << 63) - 1), (-big, "revisit", big), ((1 << 63) - 1, "response", None), (-(1 << 63), "response", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_a_payload_of_a_third_of_the_pages_is_split(spark):
+    """The join with the chosen responses may be split by Spark, as both sides are exchanges of their own."""
+    keys = ["spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor"]
+    before = {k: spark.conf.get(k) for k in keys}
+    r = random.Random(3)
+    rows = [(k, f"http://{r.getrandbits(1600)}", "hot " * 50 if k % 3 == 0 else f"page {k}") for k in range(6000)]
+    df = pages(spark, rows, 12)
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/hot-pages")
+    try:
+        for k, v in zip(keys, ("20k", "20k", "-1", "1.5"), strict=True):
+            spark.conf.set(k, v)
+        html = F.coalesce(F.col("html"), F.lit(""))
+        joined = warc.with_responses(spark.read.parquet(path).select("page_id", "url", html.alias("html")))
+        assert len(joined.collect()) == 6000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
