@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
+BROADCAST_LABELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -29,9 +30,9 @@ class Conf:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16  # of each width
     vector: int = 8  # numbers for each byte
-    rows_per_language: int = 500  # the bound of the training sample
+    rows_per_language: int = 500  # bound of the training sample
+    sample_rows: int = 20_000  # bound over all labels; each of them has a row at least
     windows_per_row: int = 4  # spread evenly over the row's text
-    languages: int = 200  # the most frequent labels are learned
     epochs: int = 12
     batch: int = 64
     rate: float = 0.01
@@ -77,16 +78,18 @@ class ByteNet:
         return self
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the mean weighted cross-entropy, in the order of the parameters in ``fit``."""
         c, n = self.conf, len(x)
-        vectors = self.embed[x]  # n, window, d
-        pooled, places, columns = [], [], []
+        pooled, places = [], []
         for w, k, b in zip(c.widths, self.kernels, self.biases, strict=True):
-            cols = np.concatenate([vectors[:, i : c.window - w + 1 + i] for i in range(w)], axis=2)
-            z = cols @ k + b
+            last = c.window - w + 1
+            parts = [self.embed @ k[i * c.vector : (i + 1) * c.vector] for i in range(w)]  # a filter's answer to each byte
+            z = parts[0][x[:, :last]]
+            for i, part in enumerate(parts[1:], 1):
+                z += part[x[:, i : i + last]]
             at = z.argmax(axis=1)
             places.append(at)
-            columns.append(cols)
-            pooled.append(np.take_along_axis(z, at[:, None], 1)[:, 0])
+            pooled.append(np.take_along_axis(z, at[:, None], 1)[:, 0] + b)
         h = np.concatenate(pooled, axis=1)
         act = np.maximum(h, 0)
         p = _softmax(act @ self.out + self.shift)
@@ -94,16 +97,17 @@ class ByteNet:
         p *= weight[:, None] / n
         g_out, g_shift = act.T @ p, p.sum(axis=0)
         g_h = (p @ self.out.T) * (h > 0)
-        g_embed, g_k, g_b = np.zeros_like(self.embed), [], []
-        rows = np.arange(n)[:, None]
+        g_k, g_b, bytes_, backs = [], [], [], []
+        rows = np.arange(n)[:, None, None]
         for i, (w, k) in enumerate(zip(c.widths, self.kernels, strict=True)):
             g = g_h[:, i * c.filters : (i + 1) * c.filters]  # n, f; only the largest answers pass gradients on
-            cols = columns[i][rows, places[i]]  # n, f, w * d
-            g_k.append(np.einsum("nf,nfk->kf", g, cols))
+            seen = x[rows, places[i][:, :, None] + np.arange(w)]  # n, f, w
+            g_k.append(np.einsum("nf,nfk->kf", g, self.embed[seen].reshape(n, c.filters, -1), optimize=True))
             g_b.append(g.sum(axis=0))
-            back = (g[:, :, None] * k.T[None]).reshape(n, c.filters, w, c.vector)
-            for j in range(w):
-                np.add.at(g_embed, x[rows, places[i] + j], back[:, :, j])
+            backs.append((g[:, :, None] * k.T[None]).reshape(-1, c.vector))
+            bytes_.append(seen.ravel())
+        at, back = np.concatenate(bytes_), np.concatenate(backs)
+        g_embed = np.stack([np.bincount(at, back[:, d], minlength=256) for d in range(c.vector)], axis=1).astype(self.embed.dtype)
         g_embed[0] = 0  # filling stays without weight
         return [g_embed, *g_k, *g_b, g_out, g_shift]
 
@@ -164,32 +168,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, conf: Conf = Conf()) -> ByteNet | None:
-    """Learn from rows with text and lang that aren't held out; None if there are none.
+def sampled(docs: DataFrame, conf: Conf = Conf()) -> list[tuple[str, list[str]]]:
+    """(lang, pieces of text) of rows with text and lang that aren't held out; equal rows count once.
 
-    The sample has at most ``rows_per_language`` rows of each of the ``languages`` most frequent labels, chosen by
-    hash of the id, and ``windows_per_row`` windows of each; it is all that reaches the driver.
+    Every label is there, with as many rows as ``rows_per_language`` and ``sample_rows`` allow, chosen by hash of
+    id and text; a row gives ``windows_per_row`` pieces, spread evenly. Rows without an id take part.
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(conf.languages)
-    ranked = rows.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("key"))
-    # the least hashes of each label, first thinned to some times as many, so no task ranks more whatever the input
-    share = F.col("key").cast("double") / 2.0**64 + 0.5 < F.lit(4.0 * conf.rows_per_language) / F.col("count")
-    thin = ranked.select("lang", "key", "doc_id").join(F.broadcast(top), "lang").where(share)  # top: at most ``languages`` rows
-    w = Window.partitionBy("lang").orderBy("key", "doc_id")
-    keys = thin.withColumn("place", F.row_number().over(w)).where(F.col("place") <= conf.rows_per_language)
-    chosen = keys.select("doc_id").distinct()  # at most languages * rows_per_language ids
     n, size = conf.windows_per_row, conf.window
     room = F.greatest(F.length("text") - size, F.lit(0))
     cuts = F.array(*(F.substring("text", (room * k / max(1, n - 1)).cast("int") + 1, F.lit(size)) for k in range(n)))
-    found = ranked.join(F.broadcast(chosen), "doc_id").groupBy("lang", "doc_id").agg(F.min(cuts).alias("cuts"))  # rows that share an id: one
-    sample = found.collect()
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("key"), cuts.alias("cuts"))
+    # a number for each label, as the network itself has a column for each
+    known = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()
+    if not known:
+        return []
+    most = max(1, min(conf.rows_per_language, conf.sample_rows // len(known)))
+    # the least hashes of each label, first thinned to some times as many, so no task ranks more whatever the input
+    limits = docs.sparkSession.createDataFrame([(r.lang, 4.0 * most / max(1, r.n)) for r in known], "lang string, share double")
+    limits = F.broadcast(limits) if len(known) <= BROADCAST_LABELS else limits
+    thin = rows.join(limits, "lang").where(F.col("key").cast("double") / 2.0**64 + 0.5 < F.col("share"))
+    each = thin.groupBy("lang", "key").agg(F.min("cuts").alias("cuts"))  # copies of a row: partial aggregates
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= most)
+    return sorted((r.lang, r.cuts) for r in ranked.select("lang", "cuts").collect())
+
+
+def train(docs: DataFrame, conf: Conf = Conf()) -> ByteNet | None:
+    """Learn from a bounded sample of labelled rows, see ``sampled``; it is all that reaches the driver. None if there are none."""
+    sample = sampled(docs, conf)
     if not sample:
         return None
-    sample.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.cuts))
-    langs = sorted({r.lang for r in sample})
-    texts = [(c.encode("utf-8")[:size], langs.index(r.lang)) for r in sample for c in dict.fromkeys(r.cuts)]
-    windows, _, _ = _windows([t for t, _ in texts], size)
+    langs = sorted({lang for lang, _ in sample})
+    number = {lang: k for k, lang in enumerate(langs)}
+    texts = [(x.encode("utf-8", "surrogatepass")[: conf.window], number[lang]) for lang, cuts in sample for x in dict.fromkeys(cuts)]
+    windows, _, _ = _windows([t for t, _ in texts], conf.window)
     return ByteNet(langs, conf).fit(windows, np.array([y for _, y in texts]))
 
 
@@ -235,7 +247,8 @@ def identify(docs: DataFrame, net: ByteNet | None = None, conf: Conf = Conf()) -
     """(doc_id, held_out, lang_pred, score) for each row; trains on ``docs`` unless a net is given.
 
     lang, source and doc_id play no part in a prediction. Repeated rows are predicted alike; an empty table
-    gives no rows. A null doc_id isn't held out.
+    gives no rows. A null doc_id isn't held out. Null and empty texts, and those without a letter, are ``und``
+    with score 0. Of very long texts all windows count.
     """
     net = net or train(docs, conf)
     got = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), net).alias("p"))
@@ -243,7 +256,11 @@ def identify(docs: DataFrame, net: ByteNet | None = None, conf: Conf = Conf()) -
 
 
 def accepted(docs: DataFrame, least_score: float = 0.5, net: ByteNet | None = None, conf: Conf = Conf()) -> DataFrame:
-    """Rows of ``docs`` with a determined language of at least that score; their columns stay as they are."""
+    """Rows of ``docs`` with a determined language of at least that score; their columns stay as they are.
+
+    Null and empty texts, and those without a letter, go. Repeated rows stay or go together; nothing to learn
+    from: all go; an empty table gives no rows.
+    """
     net = net or train(docs, conf)
     p = predict(F.col("text"), net)
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), p.alias("p"))
