@@ -73,3 +73,24 @@ def test_awkward(spark):
 
 def test_query_equals_sql(spark):
     assert compare(queries.op7_templates(spark, SF), queries.ORACLE_SQL["op7_templates"]) == 1000
+
+
+def test_time_is_linear_in_the_lines(spark):
+    """One document has 200,000 lines, half of which recur in others, and one template very many."""
+    import time
+
+    lines = [f"shared line of the one kind with word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)} here" for k in range(3000)]
+    long = "\n".join(x for k in range(100_000) for x in (lines[k % 3000], f"own{'x' * (k % 7)} {k}"))
+    rows = [(k, "\n".join(lines), "en", "a") for k in range(3)] + [(9, long, "en", "a")]
+    began = time.time()
+    got = {r.doc_id: r for r in templates.deduplicated(documents(spark, rows)).select("row.doc_id", "n_lines", "n_dropped", "text").collect()}
+    assert time.time() - began < 60
+    assert got[9].n_lines == 200_000 and got[9].n_dropped == 100_000 and got[9].text == "\n".join(long.split("\n")[1::2])
+    assert got[0].n_dropped == 0 and got[1].text == ""
+
+
+def test_copies_of_a_text_are_split(spark):
+    """Copies of one text meet its hits in a join that Spark may split: neither side is an aggregate of the join's own stage."""
+    rows = [(k, "one two three four\nfive six seven" if k % 3 else f"own {k} text\nfive six seven", "en", "a") for k in range(60)]
+    plan = templates.deduplicated(documents(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Aggregate" not in plan.split("Join LeftOuter")[1]
