@@ -3,7 +3,7 @@
 The patterns give three kinds of spans. The method adds a fourth: a string near a sensitive word is compressed
 behind the text around it, with a zstandard dictionary of identifiers and words. Names, paths, prose and
 whatever the surroundings already hold cost a few bytes; a random key costs nearly its own length. Strings
-whose marginal cost is high for their length are reported.
+whose marginal cost is high for their length are reported; nothing but these costs decides.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,8 @@ SENSITIVE = re.compile(
     r"passw(?:or)?d|passphrase|secret|token|api[_-]?key|apikey|credential|private[_-]?key|access[_-]?key|auth(?:orization|_|\b)|bearer|signature|session[_-]?id|client[_-]?id|encryption|AKIA",
     re.IGNORECASE | re.ASCII,
 )
+FREQUENT_WORDS = 9_300
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-_CASE = re.compile(r"[a-z][A-Z]")
 _LONG = re.compile(r"[0-9a-f]{24,}")
 
 
@@ -39,44 +40,64 @@ _LONG = re.compile(r"[0-9a-f]{24,}")
 class Conf:
     before: int = 64  # characters between a sensitive word and what it makes suspicious, on either side
     around: int = 512  # characters of surrounding text on each side
-    least_share: float = 0.7  # marginal bytes for each byte of the candidate
-    least_symbols: int = 8  # different characters of a candidate
+    # marginal bytes for each byte of the candidate behind a quick parse, one with all words, and one with frequent words
+    least_shares: tuple[float, float, float] = (0.7, 0.7, 0.7)
+    short: int = 14  # below so many characters, where whole bytes are coarse, these hold
+    short_shares: tuple[float, float, float] = (0.65, 0.75, 0.7)
 
 
-@cache
-def _compressor():
-    """Zstandard with a dictionary of identifiers: the longer words of a public vocabulary and usual names in code."""
+def _words() -> list[bytes]:
+    """Words of a public vocabulary, by rank: the frequent ones first."""
     import base64
 
     import public_tokenizers
+
+    rows = (x.split() for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))
+    words = (base64.b64decode(w).strip() for w, _ in sorted(rows, key=lambda x: int(x[1])))
+    return [w for w in words if w.isalpha()]
+
+
+@cache
+def _compressor():
+    """Zstandard with a dictionary of identifiers: the longer words of a public vocabulary and usual names in code."""
     import zstandard
 
     # Names that code uses around keys without being keys.
     names = b"password secret token api_key access_key private_key client_secret authorization bearer credentials config environment getenv os.environ process.env settings.py application.properties example placeholder changeme undefined null true false return import function class public static String const default username localhost https://www.example.com/path/to/resource "
-    words = sorted((base64.b64decode(x.split()[0]) for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")), key=len)
-    words = b" ".join(w.strip() for w in words if len(w) >= 7 and w.strip().isalpha())[-100_000:]
+    words = b" ".join(w for w in sorted(_words(), key=len) if len(w) >= 7)[-100_000:]
     data = zstandard.ZstdCompressionDict(words + b" " + names, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(level=9)
     return zstandard.ZstdCompressor(dict_data=data, write_checksum=False, write_content_size=False)
 
 
-@cache
-def _thorough():
-    """Zstandard with an optimal parse, short matches and all words of the vocabulary, which codes most plain words in a few bytes."""
-    import base64
-
-    import public_tokenizers
+def _careful(words: bytes, strategy: int, search: int):
     import zstandard
 
-    words = sorted((base64.b64decode(x.split()[0]).strip() for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")), key=len)
-    data = zstandard.ZstdCompressionDict(b" ".join(w for w in words if len(w) >= 4 and w.isalpha()), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(
-        window_log=20, hash_log=17, chain_log=17, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_checksum=False, write_content_size=False
+        window_log=20, hash_log=17, chain_log=17, search_log=search, min_match=3, target_length=64, strategy=strategy, write_checksum=False, write_content_size=False
     )
     data.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
+@cache
+def _thorough():
+    """Zstandard with an optimal parse, short matches and all words of the vocabulary, which codes most plain words in a few bytes."""
+    import zstandard
+
+    return _careful(b" ".join(sorted((w for w in _words() if len(w) >= 4), key=len)), zstandard.STRATEGY_BTULTRA, 6)
+
+
+@cache
+def _frequent():
+    """The same over frequent words in small letters, nearest those that are most frequent, as near matches cost least."""
+    import zstandard
+
+    words = dict.fromkeys(w.lower() for w in _words()[:FREQUENT_WORDS] if len(w) >= 4)
+    return _careful(b"".join(reversed(words)), zstandard.STRATEGY_BTULTRA2, 8)
+
+
 def novelty(candidate: str, around: str, compressor=_compressor) -> float:
     """Marginal compressed bytes for each byte of the candidate behind its surroundings."""
     c, lead, data = compressor(), around.encode("utf-8", "surrogatepass"), candidate.encode()
@@ -114,18 +135,25 @@ def _candidates(text: str, conf: Conf) -> Iterator[tuple[int, int]]:
                     yield part.span()
 
 
+def is_new(candidate: str, around: str, conf: Conf = Conf()) -> bool:
+    """Whether every parse finds the candidate new; the quick one comes first."""
+    quick, thorough, frequent = conf.short_shares if len(candidate) < conf.short else conf.least_shares
+    return (
+        novelty(candidate, around) >= quick
+        and novelty(candidate, around, _thorough) >= thorough
+        and novelty(candidate.lower(), around, _frequent) >= frequent
+    )
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], conf: Conf = Conf()) -> list[tuple[int, int, str]]:
-    """Strings near a sensitive word on either side, new to the compressor and outside base spans; they don't overlap."""
+    """Strings near a sensitive word on either side, new to the compressors and outside base spans (by start); they don't overlap."""
     out, done = [], -1
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     for a, b in _candidates(text, conf):
-        s = text[a:b]
-        if a < done or len(set(s)) < conf.least_symbols or any(x < b and a < y for x, y, _ in base):
-            continue
-        around = text[max(0, a - conf.around) : a] + text[b : b + conf.around]
-        if novelty(s, around) < conf.least_share:
+        before = bisect_left(starts, b)
+        if a < done or before and reach[before - 1] > a or SENSITIVE.fullmatch(text, a, b):
             continue
-        # a plain word that the quick parse finds new must be new to the thorough one too
-        if any(map(str.isdigit, s)) or len(_CASE.findall(s)) >= 3 or novelty(s, around, _thorough) >= conf.least_share:
+        if is_new(text[a:b], text[max(0, a - conf.around) : a] + text[b : b + conf.around], conf):
             out.append((a, b, "novel"))
             done = b
     return out

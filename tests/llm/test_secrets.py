@@ -83,3 +83,45 @@ def test_random_keys_and_plain_words():
     keys = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for n in (16, 24, 32) for _ in range(30)]
     assert sum(bool(secrets.novel_spans(lead + k, [])) for k in keys) >= 0.9 * len(keys)
     assert not any(secrets.novel_spans(lead + w, []) for w in "acknowledgement straightforward documentation internationalization".split())
+
+
+def test_planted_keys_and_plain_strings():
+    """Found keys of each kind, and strings of prose and code that are taken for keys where each stands near a sensitive word."""
+    import glob
+    import string
+    import sysconfig
+    import uuid
+
+    import duckdb
+
+    r = random.Random(11)
+    lead = "the client reads its configuration from the environment before it connects to the auth server: "
+    found = lambda s: bool(secrets.novel_spans(lead + s, []))
+    kinds = {"lower": string.ascii_lowercase, "base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "digits": string.digits}
+    for kind, letters in kinds.items():
+        keys = ["".join(r.choice(letters) for _ in range(n)) for n in range(12, 41, 4) for _ in range(25)]
+        assert sum(map(found, keys)) >= (0.9 if kind == "lower" else 0.97) * len(keys), kind
+    assert all(found(str(uuid.UUID(int=r.getrandbits(128)))) for _ in range(50))
+    texts = [t for t, in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null limit 300").fetchall()]
+    plain = sorted({w for t in texts for w in re.findall("[A-Za-z]{12,}", t)})
+    assert len(plain) > 200 and sum(map(found, plain)) <= 0.08 * len(plain)
+    names = {w for f in sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))[:20] for w in secrets._CANDIDATE.findall(open(f, errors="ignore").read())}
+    names = r.sample(sorted(names), 300)
+    assert sum(map(found, names)) <= 0.42 * len(names)  # names of code are nearly as new as keys to a compressor
+
+
+def test_sensitive_words_and_long_texts():
+    key = "qzrtxwpkvbnchgdsjfmaeuoiylqzpw"
+    text = f"Authorization: Bearer {key}"
+    assert secrets.scan(text)[1] == [(22, 22 + len(key), "novel")]
+    import time
+
+    def seconds(n):
+        text = " ".join(f"password=abcdef{k} token q8Zr{k}T1xW0pLk93" for k in range(n))
+        began = time.process_time()
+        base, every = secrets.scan(text)
+        assert len(base) == n < len(every)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 8 * 2.5 * max(0.05, seconds(2_000))  # in proportion, not with the square
