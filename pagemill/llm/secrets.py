@@ -153,7 +153,9 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], conf: Conf = Conf()
         before = bisect_left(starts, b)
         if a < done or before and reach[before - 1] > a or SENSITIVE.fullmatch(text, a, b):
             continue
-        if is_new(text[a:b], text[max(0, a - conf.around) : a] + text[b : b + conf.around], conf):
+        key = text[a:b]
+        around = (text[max(0, a - conf.around) : a] + text[b : b + conf.around]).replace(key, " ")  # copies don't excuse each other
+        if is_new(key, around, conf):
             out.append((a, b, "novel"))
             done = b
     return out
