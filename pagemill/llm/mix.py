@@ -3,25 +3,28 @@
 A source's documents are dealt to shards by hash and laid end to end there in a seeded random order; the
 words of a shard are cut into blocks of equal size. Whole passes that a target asks for are taken as they
 are. For the rest, the blocks of all sources are seats: they go to sources by highest quotients, then within
-a source to its shards, which gives an integer quota for each shard. A shard takes its quota as a run of
-blocks from a seeded start, around its end. As its documents lie in random order, a run is a random sample
-of them that cuts two documents at most.
+a source to groups of shards and within a group to its shards, which gives an integer quota for each shard. A
+shard takes its quota as a run of blocks from a seeded start, around its end. As its documents lie in random
+order, a run is a random sample of them that cuts two documents at most.
 
-Only figures of sources (a row each) reach the driver. Shards hold a bounded number of words, so the one
-source that has a third of all rows has many shards; their quotas are found from a row for each shard.
+Shards hold a bounded number of words, so the one source that has a third of all rows has many shards, and so
+do rows that are alike in everything: their copies are dealt out in turn. A group has a bounded number of
+shards. What reaches the driver is a row for each source and for each group of shards.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.shared import stored
+
 #: A word is a run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 100_000
@@ -34,6 +37,7 @@ class Mix:
     most: float = 2.0  # times its size that a source, and so a document, is taken at most
     block_words: int = 32
     shard_words: int = 1 << 20
+    group_shards: int = 4096
     seed: int = 17
 
 
@@ -90,17 +94,44 @@ def _number(md5: Column) -> Column:
     return F.conv(F.substring(md5, 1, 8), 16, 10).cast("long")
 
 
+def _dealt(rows: DataFrame, conf: Mix) -> DataFrame:
+    """``rows`` (at, nr, shards, key, size, tie) with a shard each.
+
+    Rows that are alike in key, size and tie, and hold a good part of a shard's words, are told apart by their
+    places among themselves, which are found in many tasks; so they spread over all shards, as many to each in
+    every run. Other rows go by hash.
+    """
+    alike = ["nr", "key", "size", "tie"]
+    spot = F.pmod(F.xxhash64("key", "size", "tie"), F.col("shards"))
+    many = rows.where("shards > 1").groupBy(*alike).agg(F.count("*").alias("copies")).where(F.col("copies") * F.col("size") > conf.shard_words // 8)
+    many = stored(many, "repeats")
+    if many.isEmpty():
+        return rows.withColumn("shard", spot)
+    # stored sides, so that Spark may split the rows of a group
+    hot = stored(rows.join(many.drop("copies"), alike).withColumn("part", F.pmod(F.xxhash64("at"), F.lit(1009))), "repeated")
+    before = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hot.groupBy(*alike, "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("at")) - 1
+    numbered = hot.withColumn("inside", inside).join(counts, [*alike, "part"])
+    turn = F.pmod(spot + F.col("before") + F.col("inside"), F.col("shards"))
+    cold = rows.join(many.drop("copies"), alike, "left_anti").withColumn("shard", spot)
+    return cold.unionByName(numbered.withColumn("shard", turn).select(*cold.columns))
+
+
 def mixed(docs: DataFrame, size: Column, doc_id: Column, source: Column, conf: Mix = Mix(), tie: Column | None = None) -> DataFrame:
     """(row, size, source_size, target, passes, parts, taken) for each row; ``row`` is the row of ``docs``.
 
     passes: how often the whole document is taken; parts: array of word ranges [from, to) taken once more.
     Null ids and null sources are values of their own, null last; equal rows are documents of their own; no
     rows or no words give targets of 0. Columns of ``docs`` may have any names, they stay inside ``row``.
-    ``size`` must give the same number each time it is evaluated.
+    ``tie`` orders rows that share id and size, as a hash of the text does. Sizes are found once; only narrow
+    rows are laid out, and a document of any length is one of them.
     """
     spark = docs.sparkSession
-    tie = F.lit(0) if tie is None else tie
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), size.alias("size"), source.alias("source"), _seeded(conf.seed, doc_id).alias("key"), tie.alias("tie"))
+    tie = F.lit(0).cast("long") if tie is None else tie.cast("long")
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), size.alias("size"), source.alias("source"), _seeded(conf.seed, doc_id).alias("key"), tie.alias("tie"))
+    whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "mix")
+    rows = whole.drop("row")
     by = sorted(((r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes, b = [int(n) for _, n in by], conf.block_words
     weights = [conf.weights[k % len(conf.weights)] for k in range(len(by))]
@@ -113,25 +144,40 @@ def mixed(docs: DataFrame, size: Column, doc_id: Column, source: Column, conf: M
         "nr int, source string, source_size long, target double, passes int, shards long",
     )
     plan = F.broadcast(plan) if len(by) <= BROADCAST_SOURCES else plan
-    dealt = rows.join(plan, rows.source.eqNullSafe(plan.source)).drop("source").withColumn("shard", F.pmod(_number(F.col("key")), F.col("shards")))
+    dealt = stored(_dealt(rows.join(plan, rows.source.eqNullSafe(plan.source)).drop("source"), conf), "dealt")
     lengths = dealt.groupBy("nr", "shard").agg(F.sum("size").alias("length"))
-    lengths = lengths.withColumn("blocks", F.ceil(F.col("length") / b).cast("long"))
-    room = {r.nr: int(r.n) for r in lengths.groupBy("nr").agg(F.sum("blocks").alias("n")).collect()} if any(rest) else {}
-    quota = sainte_lague(rest, int(round(sum(rest) / b)), [room.get(k, 0) for k in range(len(by))]).tolist() if any(rest) else [0] * len(by)
-    seats = spark.createDataFrame(list(enumerate(quota)), "nr int, quota long")
-    # ask for the quota only beside the shard table: a row for each shard of a source, in one task for a source
-    given = lengths.join(seats, "nr").groupBy("nr").applyInPandas(_to_shards, "nr int, shard long, length long, blocks long, quota long")
+    lengths = lengths.withColumn("blocks", F.ceil(F.col("length") / b).cast("long")).withColumn("group", F.expr(f"shard div {conf.group_shards}"))
+    groups = sorted((r.nr, r["group"], int(r.length), int(r.blocks)) for r in lengths.groupBy("nr", "group").agg(F.sum("length").alias("length"), F.sum("blocks").alias("blocks")).collect())
+    seats = spark.createDataFrame(_to_groups(groups, rest, b), "nr int, group long, quota long")
+    given = lengths.join(seats, ["nr", "group"]).groupBy("nr", "group").applyInPandas(_to_shards, "nr int, shard long, length long, blocks long, quota long")
     start = F.when(F.col("blocks") > 0, F.pmod(_number(_seeded(conf.seed, F.col("nr"), F.col("shard"))), F.col("blocks"))).otherwise(0)
-    given = given.select("nr", "shard", "length", (start * b).alias("from"), ((start + F.col("quota")) * b).alias("to"), (F.col("blocks") * b).alias("around"))
+    given = given.select("nr", "shard", (start * b).alias("from"), ((start + F.col("quota")) * b).alias("to"), (F.col("blocks") * b).alias("around"))
 
-    w = Window.partitionBy("nr", "shard").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("nr", "shard").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = dealt.withColumn("end", F.sum("size").over(w)).withColumn("begin", F.col("end") - F.col("size")).join(given, ["nr", "shard"])
     first = F.struct(F.greatest(F.col("from"), F.col("begin")).alias("a"), F.least(F.col("to"), F.col("end")).alias("b"))
     again = F.struct(F.greatest(F.lit(0), F.col("begin")).alias("a"), F.least(F.col("to") - F.col("around"), F.col("end")).alias("b"))
     parts = F.filter(F.array(again, first), lambda x: x["b"] > x["a"])
     parts = F.transform(parts, lambda x: F.struct((x["a"] - F.col("begin")).alias("a"), (x["b"] - F.col("begin")).alias("b")))
     taken = F.col("passes") * F.col("size") + F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return laid.withColumn("parts", parts).select("row", "size", "source_size", "target", "passes", "parts", taken.cast("long").alias("taken"))
+    found = laid.withColumn("parts", parts).select("at", "size", "source_size", "target", "passes", "parts", taken.cast("long").alias("taken"))
+    return whole.select("at", "row").join(found, "at").drop("at")
+
+
+def _to_groups(groups: list[tuple[int, int, int, int]], rest: list[float], block_words: int) -> list[tuple[int, int, int]]:
+    """(source, group, quota) of sorted (source, group, length, blocks): seats go to sources first, then to their groups."""
+    if not any(rest):
+        return [(nr, group, 0) for nr, group, _, _ in groups]
+    room = [0] * len(rest)
+    for nr, _, _, blocks in groups:
+        room[nr] += blocks
+    quota = sainte_lague(rest, int(round(sum(rest) / block_words)), room)
+    out = []
+    for nr, some in groupby(groups, key=lambda x: x[0]):
+        some = list(some)
+        got = sainte_lague([x[2] for x in some], int(quota[nr]), [x[3] for x in some])
+        out += [(nr, x[1], int(n)) for x, n in zip(some, got, strict=True)]
+    return out
 
 
 def _to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,14 +186,15 @@ def _to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["nr", "shard", "length", "blocks", "quota"]]
 
 
-def mixed_texts(docs: DataFrame, conf: Mix = Mix(), cut: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def mixed_texts(docs: DataFrame, conf: Mix = Mix()) -> DataFrame:
     """The mix itself: each document's row as often as it is taken whole, and a row for each part taken, with its text cut to it.
 
-    Columns are those of ``docs``; ``n_chars`` follows the text if it is there.
+    Columns are those of ``docs``; ``n_chars`` follows the text if it is there. Null and empty texts, and those
+    without words, aren't taken. Repeated rows are documents of their own; an empty table gives no rows.
     """
     text = F.col("text")
     got = mixed(docs, words(text), F.col("doc_id"), F.col("source"), conf, F.xxhash64(text))
-    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes"))
+    whole = F.when(F.col("size") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes"))).otherwise(F.array())
     each = got.select("row", "size", F.explode(F.concat(whole, "parts")).alias("part"))
     # words with the white space behind them; only evaluated for the few cut documents
     pieces = F.split(F.col("row.text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

@@ -16,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select("doc_id", "source", mix.words(F.col("text")).alias("size"))
-    docs = stored(docs, "sizes")  # texts are counted once
-    got = mix.mixed(docs, F.col("size"), F.col("doc_id"), F.col("source"))
+    text = F.col("text")
+    docs = _table(spark, d, "documents").select("doc_id", "source", mix.words(text).alias("size"), F.xxhash64(text).alias("tie"))
+    got = mix.mixed(docs, F.col("size"), F.col("doc_id"), F.col("source"), tie=F.col("tie"))
     return got.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

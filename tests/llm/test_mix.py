@@ -81,3 +81,37 @@ def test_empty(spark):
 def test_query(spark):
     assert compare(queries.op1_mix(spark, SF), queries.ORACLE_SQL["op1_mix"]) == 1000
     assert sorted(queries.op1_mix(spark, SF).collect()) == sorted(queries.op1_mix(spark, SF).collect())
+
+
+def test_rows_without_id_and_copies_spread(spark):
+    """Neither a shared id nor rows that are alike in everything crowd a shard, and reruns over other partitions agree."""
+    conf = mix.Mix(shard_words=400, block_words=8, group_shards=5)
+    only_null = [(None, f"text {k} " * (k % 5 + 1), "en", "a") for k in range(1500)]
+    copies = [(7, "the same row " * 4, "en", "a")] * 1500
+    for rows in (only_null, copies, only_null + copies + [(k, f"own {k}", "en", "b") for k in range(300)]):
+        seen = []
+        for partitions in (2, 7):
+            docs = documents(spark, rows, partitions)
+            got = mix.mixed(docs, mix.words(F.col("text")), F.col("doc_id"), F.col("source"), conf, F.xxhash64("text")).select("row.doc_id", "row.text", "row.source", "size", "taken", "target").collect()
+            assert len(got) == len(rows)
+            seen.append(sorted(got, key=repr))
+            by = {}
+            for r in got:
+                assert 0 <= r.taken <= 2 * r["size"]
+                by.setdefault(r.source, []).append(r)
+            for some in by.values():
+                words = sum(r["size"] for r in some)
+                assert abs(sum(r.taken for r in some) - some[0].target) <= 8 * (words // 400 + 3)
+        assert seen[0] == seen[1]
+    for rows in (only_null, copies):
+        docs = documents(spark, rows).select(F.monotonically_increasing_id().alias("at"), F.lit(0).alias("nr"), F.lit(30).cast("long").alias("shards"), mix._seeded(17, F.col("doc_id")).alias("key"), mix.words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+        load = [r.n for r in mix._dealt(docs, conf).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+        assert len(load) == 30 and max(load) < 2 * sum(load) / 30
+
+
+def test_quotas_of_groups():
+    groups = [(0, 0, 50, 7), (0, 1, 30, 4), (2, 0, 10, 2)]
+    got = mix._to_groups(groups, [40.0, 0.0, 16.0], 8)
+    assert sum(n for _, _, n in got) == 7 and [x[:2] for x in got] == [(0, 0), (0, 1), (2, 0)]
+    assert got[0][2] + got[1][2] == 5 and got[0][2] == brute_seats([50, 30], 5, [7, 4])[0] and got[2][2] == 2
+    assert mix._to_groups(groups, [0.0, 0.0, 0.0], 8) == [(0, 0, 0), (0, 1, 0), (2, 0, 0)]
