@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from pagemill.llm.bpe import Encoder, default_vocabulary
 from pagemill.llm.shared import stored
 
 LENGTH, END_ID, SHARD_PIECES = 2048, 0, 200_000
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, document long"
 
 
 def cuts(tokens: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -48,28 +49,33 @@ def encoded(texts: pa.Array, path: str, end_id: int | None, literals: bool = Fal
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, literals: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of (doc_id, text); a null text is an empty one and has the end id only."""
+    """(doc_id, piece, start, length, ids_crc32, document[, ids]) of (doc_id, text); a null text is an empty one and has the end id only.
+
+    ``document`` numbers the rows, so that pieces of rows that share an id can be told apart.
+    """
     path = path or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document = TaskContext.get().partitionId() << 33
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), []
             for k, ids in encoded(batch.column("text"), path, end_id, literals):
                 for nr, (start, n) in enumerate(cuts(len(ids) // 4, length)):
                     data = ids[4 * start : 4 * (start + n)]
-                    rows.append((names[k], nr, start, n, zlib.crc32(data), *([data] if with_ids else [])))
-                if len(rows) >= 10_000:
-                    yield _batch(rows, with_ids)
-                    rows = []
+                    rows.append((names[k], nr, start, n, zlib.crc32(data), document + k, *([data] if with_ids else [])))
+                    if len(rows) >= 10_000:  # within a document too, however long it is
+                        yield _batch(rows, with_ids)
+                        rows = []
             if rows:
                 yield _batch(rows, with_ids)
+            document += batch.num_rows
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES + (", ids binary" if with_ids else ""))
 
 
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "document", *(["ids"] if with_ids else [])]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
@@ -164,10 +170,10 @@ def _pack_shard(capacity: int):
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False, literals: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): all pieces and their places.
+    """(doc_id, piece, start, length, ids_crc32, document[, ids], sequence_id, offset): all pieces and their places.
 
-    Null and empty texts are a piece of one token. Repeated rows, and rows that share an id, are documents of
-    their own. An empty table gives no rows; columns besides doc_id and text play no part. ``literals``: as in ``bpe``.
+    Null and empty texts are a piece of one token; only texts of more than ``length`` ids are cut, however long.
+    Repeated rows, and rows that share an id, are documents of their own, as ``document`` shows. An empty table gives no rows; columns besides doc_id and text play no part. ``literals``: as in ``bpe``.
     """
     rows = stored(pieces(docs, path, length, end_id, with_ids, literals), "pieces")
     shards = max(1, -(-rows.count() // shard_pieces))

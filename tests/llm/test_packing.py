@@ -189,3 +189,21 @@ def test_a_text_that_the_quick_library_gives_up_on(monkeypatch):
 
     monkeypatch.setattr(encoder, "_ranks", GivesUp())
     assert np.frombuffer(encoder.encode(["plain words"])[0], "<u4").tolist() == ids("plain words")
+
+
+def test_documents_that_share_an_id(spark):
+    """Pieces of each row of ``docs`` stand together under a number of their own, as do the copies that mixing makes."""
+    rows = [(7, "one two three " * 40, "en", "a"), (7, "one two three " * 40, "en", "a"), (7, "four " * 90, "en", "a"), (None, "five six " * 60, "en", "a"), (None, None, "en", "a")]
+    got = best_two_fit.packed(documents(spark, rows), length=32).collect()
+    each = {}
+    for r in got:
+        each.setdefault(r.document, []).append((r.piece, r.start, r.length, r.ids_crc32, r.doc_id))
+    made = []
+    for some in each.values():
+        at = 0
+        for k, (piece, start, n, *_) in enumerate(sorted(some)):
+            assert piece == k and start == at
+            at += n
+        assert len({d for *_, d in some}) == 1
+        made.append((some[0][4], at))
+    assert sorted(made, key=repr) == sorted(((d, len(ids(t)) + 1) for d, t, *_ in rows), key=repr)
