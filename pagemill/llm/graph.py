@@ -18,18 +18,19 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Alternates large and small stars: each node's larger, then its smaller neighbours are hung on its least
     neighbour. All steps are aggregations and joins by node. The least neighbour is found with partial
-    aggregates and then joined back, so a node with very many links needs no single task; Spark splits such
-    joins. Rounds grow with the logarithm of the longest chain; each is written to the shared folder.
+    aggregates, stored and then joined back: both sides of the join are plain exchanges then, and Spark splits a
+    node with very many links. Rounds grow with the logarithm of the longest chain; each is written to the
+    shared folder. Repeated links count once, links of a node to itself not at all; no links give no rows.
     """
     links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = stored(links, "links")
     state = _state(links)
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = stored(large, "stars")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _state(links)

@@ -9,12 +9,13 @@ pairs are tallied, those with fewer than 4 go, and the rest are verified bit by
 
 Equal fingerprints are one entry, so copies cost nothing more. Lists that hold a group of near copies are
 searched breadth first: each found entry is compared with those not found yet, which gives a spanning
-forest instead of all pairs; rows out are fewer than rows in.
+forest instead of all pairs; rows out are fewer than rows in. A long list whose entries don't link is split by
+the other positions, one of which any close pair must share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -74,80 +75,127 @@ def _postings(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def _close(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs share at least 8 - bits positional bytes and differ in at most ``bits`` bits."""
-    differ = np.ascontiguousarray(x ^ y)
-    shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    out = shared >= 8 - bits
-    out[out] = np.bitwise_count(differ[out]) <= bits
-    return out
+def _octets(prints: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1)
 
 
-def _forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the list's close pairs, found breadth first."""
-    left, right, rest = [], [], prints
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            hit = _close(np.full(len(rest), x), rest, bits)
-            if hit.any():
-                new = rest[hit]
-                left.append(np.full(len(new), x))
-                right.append(new)
-                queue.extend(new)
-                rest = rest[~hit]
-    none = np.empty(0, np.uint64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+def _close(bits: int):
+    """Which rows of positional bytes share at least 8 - bits of them with x and differ in at most ``bits`` bits."""
 
+    def close(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        differ = x ^ rows
+        out = (differ == 0).sum(axis=-1) >= 8 - bits
+        out[out] = np.bitwise_count(differ[out]).sum(axis=-1) <= bits
+        return out
 
-def _links(bits: int, small: int = 8):
-    def link(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of whole lists, sorted by key."""
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.append(starts, len(keys)))
-        size_of = np.repeat(sizes, sizes)
-        few = size_of <= small
-        k, p = keys[few & (size_of > 1)], prints[few & (size_of > 1)]
-        left, right = [], []
-        for lag in range(1, small):  # all pairs of short lists, many lists at once
-            same = np.flatnonzero(k[lag:] == k[:-lag]) if len(k) > lag else []
-            if not len(same):
-                break
-            x, y = p[same], p[same + lag]
-            ok = _close(x, y, bits)
-            left.append(x[ok])
-            right.append(y[ok])
-        for at, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-            a, b = _forest(prints[at : at + n], bits)
-            left.append(a)
-            right.append(b)
-        none = np.empty(0, np.uint64)
-        return np.concatenate(left or [none]), np.concatenate(right or [none])
+    return close
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the list that may go on in the next batch
+
+#: A list of more rows is split when so many of them had no link to any other.
+SPLIT_ROWS, SPLIT_MISSES = 1024, 16
+
+
+def _forest(rows: np.ndarray, close: Callable, least: int, shared: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a list's close pairs, found breadth first; perhaps some more.
+
+    ``rows`` (n, positions) holds bytes, all rows the same ones at the positions ``shared``; close pairs share at
+    least ``least`` positions. Of a long list whose rows don't link, so many other positions are taken that each
+    close pair must share one of them, and the list is split by each of these in turn.
+    """
+    links: list[tuple[int, int]] = []
+    others = [k for k in range(rows.shape[1]) if k not in shared]
+    needed = least - len(shared)
+    rest, queue, misses = np.arange(len(rows)), [], 0
+    while len(rest) + len(queue) > 1 and len(rest):
+        if needed > 0 and misses >= SPLIT_MISSES and len(rest) > SPLIT_ROWS:
+            pool = np.concatenate([np.array(queue, np.int64), rest])
+            for place in others[: len(others) - needed + 1]:
+                order = pool[np.argsort(rows[pool, place], kind="stable")]
+                for some in np.split(order, np.flatnonzero(np.diff(rows[order, place])) + 1):
+                    if len(some) > 1:
+                        links += [(int(some[a]), int(some[b])) for a, b in _forest(rows[some], close, least, (*shared, place))]
+            return links
+        if queue:
+            x = queue.pop()
+        else:
+            x, rest = int(rest[0]), rest[1:]
+        hit = close(rows[x], rows[rest])
+        if hit.any():
+            links += [(x, int(y)) for y in rest[hit]]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+        else:
+            misses += 1
+    return links
+
+
+def _each_list(run_list: Callable[[int, pa.RecordBatch], Iterator[pa.RecordBatch]], run_short: Callable | None = None, small: int = 0):
+    """Runs over rows sorted by ``key``, list by list: ``run_list`` gets whole lists of more than ``small`` rows, and
+    ``run_short`` all shorter ones of a part at once, as (places where lists begin, their sizes, rows)."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []  # the list that may go on in the next batch
         for batch in chain(batches, [None]):
             if batch is not None:
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                if not len(keys):
+                if not batch.num_rows:
                     continue
-                if held and held[-1][0][-1] == keys[0] == keys[-1]:
-                    held.append((keys, prints))
+                first, last = batch.column("key")[0].as_py(), batch.column("key")[-1].as_py()
+                going_on = bool(held) and held[-1].column("key")[-1].as_py() == first == last
+                held.append(batch)
+                if going_on:
                     continue
-                held.append((keys, prints))
             if not held:
                 continue
-            keys, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column("key").to_numpy()
             whole = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
-            a, b = link(keys[:whole], prints[:whole]) if whole else (np.empty(0, np.uint64),) * 2
-            held = [(keys[whole:], prints[whole:])] if whole < len(keys) else []
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+            held = table.slice(whole).combine_chunks().to_batches() if whole < len(keys) else []
+            if whole:
+                yield table.slice(0, whole).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in parts(batches):
+            keys = table.column("key").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            if run_short is not None:
+                yield from run_short(np.repeat(sizes, sizes), table)
+            for at, n in zip(starts[sizes > max(1, small)].tolist(), sizes[sizes > max(1, small)].tolist(), strict=True):
+                yield from run_list(int(keys[at]), table.slice(at, n))
 
     return run
 
 
+def _links(bits: int, small: int = 8):
+    """Links of whole lists (key, fp)."""
+    close = _close(bits)
+
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+
+    def fps(table: pa.Table) -> np.ndarray:
+        return table.column("fp").to_numpy().view(np.uint64)
+
+    def short(size_of: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        some = (size_of > 1) & (size_of <= small)
+        keys, prints = table.column("key").to_numpy()[some], fps(table)[some]
+        for lag in range(1, small):  # all pairs of short lists, many lists at once
+            same = np.flatnonzero(keys[lag:] == keys[:-lag]) if len(keys) > lag else []
+            if not len(same):
+                break
+            x, y = prints[same], prints[same + lag]
+            ok = close(_octets(x), _octets(y))
+            yield batch(x[ok], y[ok])
+
+    def long(key: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints = fps(table)
+        triple = list(combinations(range(7), 3))[key >> 24]
+        found = np.array(_forest(_octets(prints), close, 8 - bits, triple), np.int64).reshape(-1, 2)
+        yield batch(prints[found[:, 0]], prints[found[:, 1]])
+
+    return _each_list(long, short, small)
+
+
 def close_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v) links between different fingerprints that connect all pairs of at most ``bits`` (1 to 4) differing bits."""
     if not 1 <= bits <= 4:

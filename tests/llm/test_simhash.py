@@ -100,3 +100,36 @@ def test_awkward(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7, 8, 9, 10]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     assert simhash.representatives(documents(spark, [])).count() == 0
+
+
+def test_a_long_list_of_unlike_fingerprints():
+    """All share three bytes; most have no link, some are near copies of others."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    prints = r.integers(0, 1 << 40, 100_000).astype(np.uint64) << np.uint64(24) | np.uint64(0x0A0B0C)
+    for k in range(300):
+        flips = sum(1 << int(b) for b in r.choice(np.arange(24, 64), int(r.integers(1, 6)), replace=False))
+        prints[50_000 + k] = prints[k] ^ np.uint64(flips)
+    prints = np.unique(prints)
+    began = time.process_time()
+    links = simhash._forest(simhash._octets(prints), simhash._close(4), 4, (0, 1, 2))
+    assert time.process_time() - began < 60
+    got = {tuple(sorted((int(prints[a]), int(prints[b])))) for a, b in links}
+    want = set()
+    for k in r.choice(len(prints), 400, replace=False).tolist() + list(range(0, len(prints), 500)):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 4)
+        want |= {tuple(sorted((int(prints[k]), int(prints[x])))) for x in near if x != k}
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in want) and all((a ^ b).bit_count() <= 4 for a, b in got)
+    assert 500 < len(got) < 1000  # over 200 planted, and about 460 by chance
