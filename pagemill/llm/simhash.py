@@ -16,6 +16,7 @@ the other positions, one of which any close pair must share.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
@@ -229,3 +230,226 @@ def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept  # ids are unique: no second shuffle of the texts
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+# --- near copies of a given similarity -------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Near:
+    """Texts whose sets of shingles are similar: a text's shingles are all runs of ``shingle`` words."""
+
+    shingle: int = 5
+    similarity: float = 0.8  # shared shingles by all shingles of both
+    places: int = 40  # positional bytes; each equal with a chance of the similarity
+    together: int = 4  # bytes that make a key
+    least: int = 22  # equal bytes of a candidate pair; of 40, similar pairs have 32 on average and fewer once in 10,000
+    small: int = 64  # lists up to this size give all their candidate pairs at once
+    seed: int = 42
+
+
+def shingles(text: str | None, conf: Near = Near()) -> np.ndarray:
+    """Sorted different 64-bit hashes of a text's shingles, as for fingerprints; none without words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    h = xxhash.xxh64_intdigest
+    each = np.array([h(w, conf.seed) for w in words], np.uint64)
+    n = max(1, len(words) - conf.shingle + 1) if words else 0
+    out = np.zeros(n, np.uint64)
+    for k in range(min(conf.shingle, len(words))):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n])
+    return np.unique(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads each bit over all 64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def positional_bytes(hashes: np.ndarray, conf: Near = Near()) -> np.ndarray:
+    """Byte k comes from the shingle whose hash is least under the k-th mixing: texts agree in it if that is the same shingle."""
+    out = np.empty(conf.places, np.uint64)
+    turns = _mix(np.arange(1, conf.places + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    block = max(1, (1 << 20) // max(1, len(hashes)))
+    for at in range(0, conf.places, block):  # very long texts a few places at a time
+        out[at : at + block] = _mix(hashes[None] ^ turns[at : at + block, None]).min(axis=1)
+    return (_mix(out) & np.uint64(255)).astype(np.uint8)
+
+
+def _signed(text: Column, conf: Near) -> Column:
+    """(cid, bytes, keys): the text's words as 128 bits, its positional bytes and the keys of its lists; without words no bytes and keys."""
+    from pyspark.sql.functions import arrow_udf
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import xxhash
+
+        lists = conf.places // conf.together
+        for batch in batches:
+            cids, octets, keys = [], [], []
+            for value in batch:
+                value = value.as_py()
+                cids.append(xxhash.xxh3_128_digest(b" ".join(value.encode("utf-8", "surrogatepass").lower().split()) if value else b""))
+                hashes = shingles(value, conf)
+                if not len(hashes):
+                    octets.append(None)
+                    keys.append(None)
+                    continue
+                found = positional_bytes(hashes, conf)
+                parts = found[: lists * conf.together].reshape(lists, -1).astype(np.int64)
+                key = np.arange(lists, dtype=np.int64)
+                for k in range(conf.together):
+                    key = key << 8 | parts[:, k]
+                octets.append(found.tobytes())
+                keys.append(key)
+            yield pa.StructArray.from_arrays([pa.array(cids, pa.binary()), pa.array(octets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "bytes", "keys"])
+
+    return arrow_udf(run, "cid binary, bytes binary, keys array<long>")(text)
+
+
+def _shares(least: int):
+    def close(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (x == rows).sum(axis=-1) >= least
+
+    return close
+
+
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, positional bytes) of a list."""
+    octets = b"".join(table.column("bytes").to_pylist())
+    return table.column("nr").to_numpy(), np.frombuffer(octets, np.uint8).reshape(table.num_rows, -1)
+
+
+_PAIRS = "u long, v long, key long, bytes binary"
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, pa.nulls(len(a), pa.binary())], names=["u", "v", "key", "bytes"])
+
+
+def _first_pairs(conf: Near):
+    """Candidate pairs of lists (key, nr, bytes): all of a short list, a spanning forest of a long one, whose rows follow as (nr, null, key, bytes)."""
+    close = _shares(conf.least)
+
+    def short(size_of: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero((size_of > 1) & (size_of <= conf.small))
+        if not len(some):
+            return
+        part = table.take(pa.array(some)).combine_chunks()
+        keys, (nrs, octets) = part.column("key").to_numpy(), _rows(part)
+        table_nr = keys >> 8 * conf.together
+        for lag in range(1, conf.small):
+            same = np.flatnonzero(keys[lag:] == keys[:-lag]) if len(keys) > lag else []
+            if not len(same):
+                break
+            for at in range(0, len(same), 1 << 16):
+                x = same[at : at + (1 << 16)]
+                equal = octets[x] == octets[x + lag]
+                ok = equal.sum(axis=1) >= conf.least
+                # a pair comes from the first of the lists that it shares
+                whole = equal[:, : equal.shape[1] // conf.together * conf.together].reshape(len(x), -1, conf.together).all(axis=2)
+                ok &= whole.argmax(axis=1) == table_nr[x]
+                yield _pair_batch(nrs[x[ok]], nrs[x[ok] + lag])
+
+    def long(key: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        nrs, octets = _rows(table)
+        first = (key >> 8 * conf.together) * conf.together
+        found = np.array(_forest(octets, close, conf.least, tuple(range(first, first + conf.together))), np.int64).reshape(-1, 2)
+        yield _pair_batch(nrs[found[:, 0]], nrs[found[:, 1]])
+        n = table.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(nrs), pa.nulls(n, pa.int64()), *(table.column(c).combine_chunks() for c in ("key", "bytes"))], names=["u", "v", "key", "bytes"])
+
+    return _each_list(long, short, conf.small)
+
+
+def _more_pairs(conf: Near, most: int):
+    """Candidate pairs (u, v, more) of long lists (key, nr, root, bytes) between rows of different roots: for each row
+    the ``most`` with most equal bytes. ``more``: whether there are others."""
+
+    def long(key: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        nrs, octets = _rows(table)
+        roots = table.column("root").to_numpy()
+        names, counts = np.unique(roots, return_counts=True)
+        if len(names) < 2:
+            return
+        # any pair of different roots has a row outside the largest group
+        for x in np.flatnonzero(roots != names[counts.argmax()]).tolist():
+            equal = (octets[x] == octets).sum(axis=1)
+            near = np.flatnonzero((equal >= conf.least) & (roots != roots[x]))
+            if not len(near):
+                continue
+            more = len(near) > most
+            if more:
+                near = near[np.lexsort((nrs[near], -equal[near]))[:most]]
+            a, b = np.full(len(near), nrs[x]), nrs[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(near), more))], names=["u", "v", "more"])
+
+    return _each_list(long)
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, whole: DataFrame, conf: Near) -> DataFrame:
+    """The pairs (u, v) whose texts are as similar as is asked, by all their shingles. Only texts of pairs are moved."""
+    from pyspark.sql.functions import arrow_udf
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingles(x.as_py(), conf).view(np.int64) for x in batch], pa.list_(pa.int64()))
+
+    pairs = stored(pairs.select("u", "v").distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("nr")).distinct().join(classes.select("nr", "first.at"), "nr")
+    texts = whole.select("at", F.col("row.text").cast("string").alias("text")).join(needed, "at")
+    sets = stored(texts.select("nr", arrow_udf(run, "array<long>")("text").alias("of")), "shingles")
+    both = pairs.join(sets.select(F.col("nr").alias("u"), F.col("of").alias("a")), "u").join(sets.select(F.col("nr").alias("v"), F.col("of").alias("b")), "v")
+    both = both.select("u", "v", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return stored(both.where(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")) >= conf.similarity).select("u", "v"), "similar")
+
+
+def distinct_documents(docs: DataFrame, conf: Near = Near()) -> DataFrame:
+    """Rows of ``docs``, one of each group of near copies: that with the smallest doc_id, null last.
+
+    Texts link where their sets of shingles (lower-cased ASCII words as in ``fingerprint``; the whole sequence
+    where there are fewer words) are as similar as ``conf`` asks; groups are what links reach. Equal texts are
+    one entry; null texts, empty ones and those without words are equal. So rows that share an id stay apart where
+    their texts differ; of repeated rows, and of rows that share id and text, one stays. An empty table gives
+    no rows; columns stay as they are, extra ones included. Whole texts count, however long.
+
+    A 64-bit SimHash can't tell such pairs: at a similarity of 0.8 a byte of it is equal with a chance of 0.27,
+    so no number of equal bytes is guaranteed. The bytes here come from samples of a single shingle each and are
+    equal with a chance of the similarity. They are indexed by position, four at a time; equal bytes of pairs
+    that meet are counted, and pairs that reach the minimum are verified by all shingles of both texts.
+
+    A long list, as of a large group of near copies, gives a spanning forest first. Where verified links leave it
+    in several groups, each row outside the largest is compared with others of other groups, best ones first and
+    ever more of them, until none is left that reaches the minimum: so no pair that meets is lost.
+    """
+    columns = docs.columns
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _signed(F.col("text").cast("string"), conf).alias("s"), F.col("doc_id").cast("long").alias("id"))
+    whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "documents")
+    # copies of a text arrive as a row from each task
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
+    classes = whole.groupBy("s.cid").agg(F.min(place).alias("first"), F.first("s.bytes").alias("bytes"), F.first("s.keys").alias("keys"))
+    classes = stored(classes.withColumn("nr", F.monotonically_increasing_id()), "texts")
+    postings = classes.select(F.explode("keys").alias("key"), "nr", "bytes").repartition("key").sortWithinPartitions("key")
+    found = stored(postings.mapInArrow(_first_pairs(conf), _PAIRS), "candidates")
+    links = _similar(found.where("v IS NOT NULL"), classes, whole, conf)
+    roots = stored(components(links), "roots")
+    lists, most = found.where("v IS NULL").select("key", F.col("u").alias("nr"), "bytes"), 4
+    while True:
+        named = lists.join(roots.withColumnRenamed("node", "nr"), "nr", "left").select("key", "nr", F.coalesce("root", "nr").alias("root"), "bytes")
+        dealt = named.repartition("key").sortWithinPartitions("key")
+        more = stored(dealt.mapInArrow(_more_pairs(conf, most), "u long, v long, more boolean"), "candidates")
+        if more.isEmpty():
+            break
+        new = _similar(more, classes, whole, conf)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = stored(components(links), "roots")
+        if more.where("more").isEmpty():
+            break
+        most *= 4
+    rooted = classes.select("nr", "first").join(roots.withColumnRenamed("node", "nr"), "nr", "left")
+    kept = rooted.groupBy(F.coalesce("root", "nr").alias("root")).agg(F.min("first").alias("first")).select("first.at")
+    return whole.select("at", "row").join(stored(kept, "kept"), "at", "left_semi").select(*(F.col(f"row.`{c}`") for c in columns))

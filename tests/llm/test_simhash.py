@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from cases import awkward, documents
 from oracle import SF
@@ -133,3 +134,115 @@ def test_a_long_list_of_unlike_fingerprints():
         root[find(a)] = find(b)
     assert all(find(a) == find(b) for a, b in want) and all((a ^ b).bit_count() <= 4 for a, b in got)
     assert 500 < len(got) < 1000  # over 200 planted, and about 460 by chance
+
+
+def slow_groups(texts, similarity=0.8):
+    """Groups of places of texts by brute force over sets of five-word shingles, word by word."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = {}
+    for k, s in enumerate(sets):
+        if not s:
+            by.setdefault((), []).append(k)
+        for x in s:
+            by.setdefault(x, []).append(k)
+    for k, s in enumerate(sets):
+        shared = {}
+        for x in s or [()]:
+            for j in by[x]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if j < k and (not s or n / (len(s) + len(sets[j]) - n) >= similarity):
+                root[find(j)] = find(k)
+    return [find(k) for k in range(len(sets))]
+
+
+def slow_distinct(rows):
+    """(doc_id, text) that stay: by group the smallest id, null last; texts tell rows apart that share it."""
+    groups = {}
+    for (d, t, *_), g in zip(rows, slow_groups([t for _, t, *_ in rows]), strict=True):
+        groups.setdefault(g, []).append((d is None, d))
+    return sorted((min(x) for x in groups.values()), key=repr)
+
+
+def stays(df):
+    return sorted(((r.doc_id is None, r.doc_id) for r in df.collect()), key=repr)
+
+
+def test_distinct_documents_against_brute_force(spark):
+    for sf in (SF, "/root/testdata/sf0.001"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        assert stays(simhash.distinct_documents(docs)) == slow_distinct(rows)
+        assert len(slow_distinct(rows)) < len({t for _, t in rows})
+
+
+def edited(r, words, n):
+    words = list(words)
+    for k in r.sample(range(len(words)), n):
+        words[k] = f"new{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies of a few texts that share most of each other, at similarities around the threshold; lists are long, so rounds are needed."""
+    r = random.Random(12)
+    first = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(1000 + k, edited(r, first, r.randrange(1, 4))) for k in range(250)]
+    second = edited(r, first, 6).split()  # below the threshold of the first text itself
+    rows += [(2000 + k, edited(r, second, r.randrange(0, 4))) for k in range(60)]
+    rows += [(3000 + k, edited(r, first, r.randrange(5, 9))) for k in range(60)]
+    rows += [(k, " ".join(f"own{k}x{j}" for j in range(40))) for k in range(30)]
+    r.shuffle(rows)
+    docs = documents(spark, [(d, t, "en", "a") for d, t in rows])
+    want = slow_distinct(rows)
+    assert 30 < len(want) < 250
+    for small in (4, 64):
+        assert stays(simhash.distinct_documents(docs, simhash.Near(small=small))) == want
+
+
+def test_pairs_of_every_similarity(spark):
+    """Recall over planted pairs from just above the threshold on, and none below it."""
+    r = random.Random(13)
+    rows, k = [], 0
+    for n in (8, 20, 60, 200, 1000):
+        for _ in range(60):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            rows += [(k, " ".join(words)), (k + 1, edited(r, words, r.randrange(0, 1 + max(1, n // 30))))]
+            k += 2
+    groups = slow_groups([t for _, t in rows])
+    pairs = {a for a in range(0, k, 2) if groups[a] == groups[a + 1]}
+    left = {d for _, d in stays(simhash.distinct_documents(documents(spark, [(d, t, "en", "a") for d, t in rows])))}
+    assert len(pairs) > 150 and all(a in left for a in range(0, k, 2)) and all(a + 1 in left for a in range(0, k, 2) if a not in pairs)
+    assert sum(a + 1 not in left for a in pairs) >= 0.99 * len(pairs)
+
+
+def test_positional_bytes_of_long_texts():
+    many = np.random.default_rng(3).integers(0, 1 << 63, (1 << 20) + 5).astype(np.uint64)
+    got = simhash.positional_bytes(many)
+    turn = simhash._mix(np.array([40], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    assert got[39] == simhash._mix(np.array([simhash._mix(many ^ turn).min()]))[0] & np.uint64(255)
+    assert len(simhash.shingles("a b c")) == 1 and len(simhash.shingles(" ")) == 0 and len(simhash.shingles("a b c d e a b c d e f")) == 6
+
+
+def test_distinct_awkward(spark):
+    rows = awkward()
+    docs = documents(spark, rows)
+    kept = simhash.distinct_documents(docs)
+    assert kept.schema == docs.schema and stays(kept) == slow_distinct(rows)
+    # rows that share an id stay apart where their texts differ; rows without an id are documents too
+    rows = [(7, "one two three four five six seven", "en", "a"), (7, "ONE two three four five six  seven", "en", "b"), (7, "quite another text stands here under it", "en", "a")]
+    rows += [(None, "no id one of its own kind here", "en", "a"), (None, "no id one of its own kind here", "en", "a"), (None, "", "en", "a"), (9, None, "en", "a"), (8, "quite another text stands here under it", "en", "a")]
+    got = simhash.distinct_documents(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower().split()[:2]) for r in got) == [("7", ["one", "two"]), ("7", ["quite", "another"]), ("9", []), ("None", ["no", "id"])]
+    assert simhash.distinct_documents(documents(spark, [])).count() == 0
+    assert simhash.distinct_documents(documents(spark, [(1, None, None, None), (2, " ", None, None)])).count() == 1
