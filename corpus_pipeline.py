@@ -13,27 +13,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language stays in doubt, go."""
+    """Documents without a letter, null and empty ones among them, or whose language stays in doubt, go.
+
+    Repeated rows go or stay together; very long texts are judged by all their windows; an empty table gives no
+    rows. Further columns stay in this and all stages but the last.
+    """
     return langid.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents stay in the first of them only."""
+    """Lines of templates that recur across documents stay in the first of them only; a document that loses all its lines goes.
+
+    Null and empty texts stay. Rows that share an id never drop each other's lines, rows without an id come last.
+    """
     return templates.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that with the smallest id, null last."""
+    return simhash.distinct_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as, and cut to what, the mix takes of them."""
+    """Documents as often as, and cut to what, the mix takes of them.
+
+    Null and empty texts aren't taken. Copies are rows that share an id. Null sources are a source, the last one.
+    """
     return mix.mixed_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents and their places in sequences."""
+    """Pieces of the tokenised documents and their places in sequences.
+
+    ``document`` tells rows apart that share an id. Null and empty texts are a piece of one token.
+    """
     return best_two_fit.packed(docs, literals=True)
 
 
