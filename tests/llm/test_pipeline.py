@@ -3,10 +3,10 @@ import re
 import corpus_pipeline
 from cases import awkward, documents
 from test_packing import check
-from test_simhash import slow_components, slow_print
+from test_simhash import slow_components, slow_distinct, slow_print, stays
 from test_templates import brute
 
-from pagemill.llm import langid, mix
+from pagemill.llm import langid, mix, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,9 +44,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     want = {d: t for d, n, lost, t in brute(given) if not lost or lost < n}
     assert {r.doc_id: r.text for r in rows["line_dedup"]} == want
 
-    # near-duplicates: the least id of each component
+    # near-duplicates: the least id of each group of texts that are similar by shingles
+    given = [(r.doc_id, r.text) for r in rows["line_dedup"]]
+    assert stays(spark.createDataFrame(rows["near_duplicates"], schema)) == slow_distinct(given)
+    # and what the operator keeps by the bits of its contract: the least id of each component
     given = [(r.doc_id, slow_print(r.text)) for r in rows["line_dedup"]]
-    assert sorted(r.doc_id for r in rows["near_duplicates"]) == sorted(d for d, _, c in slow_components(given) if d == c)
+    kept = simhash.representatives(spark.createDataFrame(rows["line_dedup"], schema))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in slow_components(given) if d == c)
 
     # mixing: targets by source, texts cut from their documents
     texts = {r.doc_id: r for r in rows["near_duplicates"]}
