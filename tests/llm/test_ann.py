@@ -93,3 +93,64 @@ def test_visits_go_on_until_enough():
     for least in (1, 60, 200, 500, 10_000):
         found = tree.visit(rows[3], 1, sizes, least)
         assert found == order[: len(found)] and (sizes[found].sum() >= least or len(found) == tree.leaves) and sizes[found[:-1]].sum() < least
+
+
+def test_ids_with_very_many_vectors(spark):
+    """A third of all rows share an id; a query's own id and this one crowd its nearest vectors."""
+    r = np.random.default_rng(6)
+    rows = [(k, r.normal(size=4).astype(np.float32).tolist()) for k in range(1, 300)]
+    rows += [(7, (r.normal(size=4) * 0.7).astype(np.float32).tolist()) for _ in range(400)]
+    rows += [(100, (1 + r.normal(size=4) / 100).astype(np.float32).tolist()) for _ in range(60)]
+    got = by_query(ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, ann.Conf(leaf_sample=20, recall=1.0, chunk=64)))
+    best = {}
+    for i, v in rows:
+        if i % 100 == 0:
+            for j, w in rows:
+                if j != i:
+                    s = float(np.sqrt(((np.array(w, np.float32).astype(float) - np.array(v, np.float32)) ** 2).sum()))
+                    best[i, j] = min(s, best.get((i, j), np.inf))
+    for i in (100, 200):
+        want = sorted((s, j) for (a, j), s in best.items() if a == i)[:10]
+        assert [j for _, j in got[i]] == [j for _, j in want] and np.allclose([s for s, _ in got[i]], [s for s, _ in want], atol=1e-12)
+
+
+def test_leaves_grow_with_the_input(spark):
+    """Large leaves are split again, so that a query's work doesn't grow with the rows; clustered vectors, far more than the sample."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(60, 8)) * 4
+    conf = ann.Conf(sample_rows=200, leaf_sample=20, leaf_rows=100, split_sample=60)
+    for n in (2_000, 12_000):
+        rows = [(k, (centres[k % 60] + r.normal(size=8)).astype(np.float32).tolist()) for k in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+        entries = ann.classes(ann.usable(df), 11)
+        index, forest = ann.indexed(entries, conf)
+        sizes = [x.n for x in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 100 and sum(sizes) == n and forest.leaves >= n / 100
+        got = by_query(ann.nearest(df, F.col("vec_id") % 400 == 0, conf))
+        want = brute(rows, lambda i: i % 400 == 0)
+        assert sum(len({v for _, v in got[q]} & {v for _, v in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_trees_in_the_place_of_leaves():
+    r = np.random.default_rng(1)
+    rows = r.normal(size=(900, 3))
+    tree = ann.Tree(rows[:100], ann.Conf(leaf_sample=30))
+    before = tree.assign(rows)
+    parts = {leaf: ann.Tree(rows[before == leaf], ann.Conf(leaf_sample=10)) for leaf in range(0, tree.leaves, 2)}
+    n = tree.leaves + sum(p.leaves - 1 for p in parts.values())
+    tree.grow(parts)
+    after = tree.assign(rows)
+    assert tree.leaves == n and sorted(x for x in tree.leaf if x >= 0) == list(range(n))
+    for leaf in np.unique(after):
+        assert len(set(before[after == leaf])) == 1
+    assert sorted(tree.visit(rows[0], 10**6)) == list(range(n))
+
+
+def test_dimensions_apart(spark):
+    """Vectors of different numbers of dimensions have no distance, but each kind is searched."""
+    r = np.random.default_rng(2)
+    rows = [(k, r.normal(size=(2, 5, 5)[k % 3]).astype(np.float32).tolist()) for k in range(240)]
+    got = by_query(ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, ann.Conf(leaf_sample=5, recall=1.0, chunk=32)))
+    for i in (0, 100, 200):
+        want = brute([x for x in rows if len(x[1]) == len(rows[i][1])], lambda j, i=i: j == i)[i]
+        assert [v for _, v in got[i]] == [v for _, v in want]
