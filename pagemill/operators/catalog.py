@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.names import extension
 from pagemill.settings import Settings
+from pagemill.store import keep
 
 # Extensions that can be imported.
 EXTENSIONS = ("png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif", "heic", "webp", "pdf")
@@ -33,12 +34,12 @@ def new_items(paths: DataFrame, batch: str, first_ord: Column | int = 0) -> Data
     """Rows for paths (path, length), numbered by path within the batch; ids depend on batch and number only.
 
     Numbers come from a two-step count, not from one global window: range partitions are numbered within
-    themselves and shifted by the counts of those before, so no single task holds all rows.
+    themselves and shifted by the counts of those before, so no single task holds all rows. The numbered rows are
+    stored, so that both steps see the same partitions.
     """
     dealt = paths.select("path", "length").repartitionByRange("path").sortWithinPartitions("path", "length")
-    local = dealt.select("path", "length", F.monotonically_increasing_id().alias("_m")).select(
-        "path", "length", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_r")
-    )
+    numbered = keep(dealt.select("path", "length", F.monotonically_increasing_id().alias("_m")), "numbered")
+    local = numbered.select("path", "length", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_r"))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
     shifts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_shift"))
     at = F.lit(first_ord) if isinstance(first_ord, int) else first_ord

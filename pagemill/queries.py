@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pagemill.functions import names, text
 from pagemill.operators import assembly, catalog, export, summary
 from pagemill.plans import Run, StubRecognizer
-from pagemill.plans.recognize import recognize
-from pagemill.settings import Separator, Settings
+from pagemill.plans.recognize import LOAD_FAILED
+from pagemill.settings import ENGINE_TEXTS, Engine, Separator, Settings
+from pagemill.sources import list_paths
+from pagemill.store import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,14 +157,92 @@ def _run_stub(spark: SparkSession, d: str) -> DataFrame:
     content = F.encode(F.concat(F.when(failing, "!fail").otherwise(""), F.replace("t", F.lit("\n-\n"), F.lit("\f"))), "utf-8")
     given = every.join(body, "ord").withColumn("content", content)
     run = Run(StubRecognizer(), replace(Settings(), remove_empty_lines=True), load=None)
-    from pagemill.plans.run import apply_results
+    return run.start(given, lambda df, k: keep(df, f"part-{k}")).select("id", "status", "ocr_text", "error_message", "progress")
 
-    return apply_results(every, recognize(catalog.work_list(given, run.settings), run.recognizer, run.settings, None), run.settings).select("id", "status", "ocr_text", "error_message", "progress")
+
+def _run_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as PDFs, a page for each turn: some pages can't be drawn, and some items fail on their fourth page."""
+    turns = table(spark, d, "conversations")
+    page = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 3), "!bad").when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 4 == 1), "!none").otherwise(F.col("text"))
+    pages = turns.select("conv_id", "turn", page.alias("page")).groupBy("conv_id").agg(F.expr("listagg(page, '\f') WITHIN GROUP (ORDER BY turn)").alias("body"))
+    given = pages.select(
+        F.col("conv_id").alias("ord"), F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("/in/"), "conv_id", F.lit(".pdf")).alias("path"), F.length("body").cast("long").alias("length"),
+        F.lit("pending").alias("status"), F.lit("old").alias("ocr_text"), F.lit(None).cast("string").alias("error_message"), F.lit(0.7).alias("progress"), F.encode("body", "utf-8").alias("content"),
+    )
+    run = Run(StubRecognizer(), batches=3, load=None)
+    return run.start(given, lambda df, k: keep(df, f"part-{k}")).select("id", "status", "ocr_text", "error_message", "progress")
+
+
+def _run_stopped(spark: SparkSession, d: str) -> DataFrame:
+    """A run in five parts that is stopped during the second, with the states that were seen while the parts were taken."""
+    given = items(spark, d).withColumn("content", F.encode(F.lit("seen"), "utf-8"))
+    run, seen = Run(StubRecognizer(), batches=5, load=None), []
+
+    def save(df: DataFrame, k: int) -> DataFrame:
+        if k == 1:
+            run.stop()
+        return keep(df, f"part-{k}")
+
+    after = run.start(given, save, lambda now: seen.append(now))
+    part = lambda df, name: df.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("moment"), "status", "n")
+    return part(seen[0], "first taken").unionByName(part(seen[2], "second taken")).unionByName(part(after, "stopped"))
+
+
+def _load_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose path can't be loaded, or whose bytes can't be decoded, fail with the load error; others go on."""
+
+    def load(path: str) -> bytes:
+        if path.endswith(".pdf"):
+            raise OSError(path)
+        return b"\xff" if path.endswith(".JPG") else path.encode()
+
+    run = Run(StubRecognizer(), load=load)
+    return run.start(items(spark, d), lambda df, k: keep(df, f"part-{k}")).select("id", "status", "ocr_text", "error_message", "progress")
+
+
+def _catalog_append(spark: SparkSession, d: str) -> DataFrame:
+    every = items(spark, d)
+    return catalog.import_paths(_known(every), every.select("path", "length"), "batch")[0]
+
+
+def _auto_start(spark: SparkSession, d: str) -> DataFrame:
+    """Import into a part of the catalog, with the setting that starts a run at once; an item's text is its path."""
+    every = items(spark, d)
+    run = Run(StubRecognizer(), replace(Settings(), auto_start=True), load=lambda path: path.encode())
+    got = run.import_paths(_known(every), every.select("path", "length"), "batch", lambda df, k: keep(df, f"part-{k}"))
+    return got.select("ord", "path", "status", "ocr_text")
+
+
+def _listing(hidden: bool) -> Query:
+    return lambda spark, d: list_paths(spark, [d, f"{d}/nothing-here"], include_hidden=hidden).select(names.file_name(F.col("path")).alias("file_name"), (F.col("length") > 0).alias("has_bytes"))
+
+
+def _disjoint(spark: SparkSession, d: str) -> DataFrame:
+    every = items(spark, d)
+    kinds = {k: every.where(f"ord % 6 = {k}").select("id") for k in (2, 3)}
+    rows = [(k, n, catalog.disjoint(chosen(every) if k == 7 else kinds[k], kinds[n])) for k, n in ((2, 3), (2, 2), (7, 2), (7, 3))]
+    return spark.createDataFrame(rows, "a int, b int, disjoint boolean")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """The list after each step: one on, one on again, the first off, all off."""
+    steps = [("fr-FR", True), ("fr-FR", True), ("zh-Hans", False), ("zh-Hant", False), ("en-US", False), ("fr-FR", False)]
+    settings, rows = Settings(), []
+    for k, (code, on) in enumerate(steps):
+        settings = settings.with_language(code, on)
+        rows += [(k, place, x) for place, x in enumerate(settings.languages)]
+    return spark.createDataFrame(rows, "step int, place int, code string")
+
+
+def _engines(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(e.value, e.level, e.corrects_language, e.label, e.hint) for e in Engine], "engine string, level string, corrects_language boolean, label string, hint string")
 
 
 _RUN_TEXT = r"CASE WHEN ord % 4 = 2 THEN replace(replace(t, e'\n-\n', chr(12)), chr(12), e'\n\n') ELSE replace(t, e'\n-\n', chr(12)) END"
 
 _SELECTED = "FROM items WHERE ord % 7 = 3"
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+_LISTED = "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', true)" for t in _TABLES) + ") v(file_name, has_bytes)"
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "clean_hyphen": (_rule(text.join_hyphen_breaks), _cleaned(_HYPHEN)),
@@ -268,8 +348,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "after_remove": (_on_selection(catalog.remove), f"WITH {_ITEMS} SELECT * FROM items WHERE ord % 7 <> 3"),
     "copy_one": (
-        lambda spark, d: export.copy_one(items(spark, d), "8"),
-        f"WITH {_ITEMS} SELECT ocr_text AS text FROM items WHERE id = '8' AND ocr_text <> ''",
+        lambda spark, d: export.copy_one(items(spark, d), "7"),
+        f"WITH {_ITEMS} SELECT ocr_text AS text FROM items WHERE id = '7' AND ocr_text <> ''",
     ),
     "type_dispatch": (
         lambda spark, d: catalog.importable(items(spark, d)).select("id", names.input_kind(F.col("path")).alias("kind")),
@@ -297,4 +377,63 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
           CASE WHEN status <> 'completed' AND ord % 11 = 0 THEN 'stub: marked as failing' END AS error_message,
           CASE WHEN status <> 'completed' AND ord % 11 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS progress FROM r""",
     ),
+    "run_pages": (
+        _run_pages,
+        r"""WITH p AS (SELECT *, conv_id % 3 = 0 AND turn % 4 = 1 AS gone FROM conversations),
+        c AS (SELECT conv_id, count(*) AS n, bool_or(conv_id % 5 = 0 AND turn = 3) AS bad, string_agg(text, e'\n\n' ORDER BY turn) FILTER (NOT gone) AS whole,
+          coalesce(max(turn + 1) FILTER (NOT gone AND turn < 3), 0) AS before FROM p GROUP BY conv_id)
+        SELECT CAST(conv_id AS VARCHAR) AS id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'old' ELSE coalesce(whole, '') END AS ocr_text,
+          CASE WHEN bad THEN 'stub: bad page' END AS error_message, CASE WHEN bad THEN before::DOUBLE / n ELSE 1.0::DOUBLE END AS progress FROM c""",
+    ),
+    "run_stopped": (
+        _run_stopped,
+        f"""WITH {_ITEMS}, w AS (SELECT min(ord) AS a, max(ord) AS b FROM items WHERE status <> 'completed'),
+        p AS (SELECT status, CASE WHEN status <> 'completed' THEN floor((ord - a) * 5.0::DOUBLE / (b - a + 1)) END AS part FROM items, w),
+        s AS (SELECT 'first taken' AS moment, CASE WHEN part = 0 THEN 'processing' ELSE status END AS status FROM p
+          UNION ALL SELECT 'second taken', CASE WHEN part = 0 THEN 'completed' WHEN part = 1 THEN 'processing' ELSE status END FROM p
+          UNION ALL SELECT 'stopped', CASE WHEN part <= 1 THEN 'completed' ELSE status END FROM p)
+        SELECT moment, status, count(*) AS n FROM s GROUP BY ALL""",
+    ),
+    "load_errors": (
+        _load_errors,
+        f"""WITH {_ITEMS} SELECT id, CASE WHEN status = 'completed' THEN status WHEN ord % 4 IN (1, 2) THEN 'failed' ELSE 'completed' END AS status,
+          CASE WHEN status <> 'completed' AND ord % 4 IN (0, 3) THEN path ELSE ocr_text END AS ocr_text,
+          CASE WHEN status <> 'completed' AND ord % 4 IN (1, 2) THEN '{LOAD_FAILED}' END AS error_message,
+          CASE WHEN status <> 'completed' AND ord % 4 IN (1, 2) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS progress FROM items""",
+    ),
+    "catalog_append": (
+        _catalog_append,
+        f"""WITH {_ITEMS}, known AS (SELECT * FROM items WHERE ord % 5 = 0), top AS (SELECT max(ord) + 1 AS top FROM known), fresh AS (
+          SELECT path, length, top + row_number() OVER (ORDER BY path, length) - 1 AS ord FROM items i, top
+          WHERE lower({_ENDING}) IN {_ALLOWED} AND NOT EXISTS (SELECT 1 FROM known k WHERE k.path = i.path))
+        SELECT * FROM known UNION ALL SELECT ord, sha256('batch:' || ord), path, length, 'pending', '', NULL, 0.0::DOUBLE FROM fresh""",
+    ),
+    "auto_start": (
+        _auto_start,
+        f"""WITH {_ITEMS}, known AS (SELECT * FROM items WHERE ord % 5 = 0), top AS (SELECT max(ord) + 1 AS top FROM known), fresh AS (
+          SELECT path, top + row_number() OVER (ORDER BY path, length) - 1 AS ord FROM items i, top
+          WHERE lower({_ENDING}) IN {_ALLOWED} AND NOT EXISTS (SELECT 1 FROM known k WHERE k.path = i.path))
+        SELECT ord, path, 'completed' AS status, CASE WHEN status = 'completed' THEN ocr_text ELSE path END AS ocr_text FROM known
+        UNION ALL SELECT ord, path, 'completed', path FROM fresh""",
+    ),
+    "listing_picker": (_listing(True), _LISTED),
+    "listing_drop": (_listing(False), _LISTED),
+    "disjoint": (
+        _disjoint,
+        f"""WITH {_ITEMS}, g AS (SELECT id, ord % 6 AS k FROM items UNION ALL SELECT id, 7 {_SELECTED}),
+        q(a, b) AS (VALUES (2, 3), (2, 2), (7, 2), (7, 3))
+        SELECT a, b, NOT EXISTS (SELECT 1 FROM g x JOIN g y USING (id) WHERE x.k = q.a AND y.k = q.b) AS disjoint FROM q""",
+    ),
+    "languages": (
+        _languages,
+        """SELECT step, place, code FROM (SELECT step, unnest(range(len(codes)))::INTEGER AS place, unnest(codes) AS code FROM (VALUES
+          (0, ['zh-Hans', 'zh-Hant', 'en-US', 'fr-FR']), (1, ['zh-Hans', 'zh-Hant', 'en-US', 'fr-FR']), (2, ['zh-Hant', 'en-US', 'fr-FR']),
+          (3, ['en-US', 'fr-FR']), (4, ['fr-FR']), (5, ['en-US'])) v(step, codes))""",
+    ),
+    "engine_texts": (
+        _engines,
+        "SELECT * FROM (VALUES "
+        + ", ".join(f"('{k}', '{k.removeprefix('vision_')}', true, '{a}', '{b}')" for k, (a, b) in ENGINE_TEXTS.items())
+        + ") v(engine, level, corrects_language, label, hint)",
+    ),
 }

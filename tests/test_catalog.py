@@ -5,7 +5,7 @@ import pytest
 from pagemill.functions import names
 from pagemill.operators import assembly, catalog, export, summary
 from pagemill.plans import NoBackend, Run, StubRecognizer
-from pagemill.plans.recognize import LOAD_FAILED
+from pagemill.plans.recognize import LOAD_FAILED, Opened, recognize_item
 from pagemill.settings import Engine, Separator, Settings
 from pagemill.sources import list_paths, write_export
 from pagemill.streaming import continuous_import
@@ -106,7 +106,8 @@ def test_run_and_states(spark, tmp_path):
         run2.stop()
         return save(df, k + 10)
 
-    assert 0 < sum(r.status == "pending" for r in run2.start(given, stopping).collect()) + 1
+    after = {r.id: r.status for r in run2.start(given, stopping).collect()}
+    assert after == {"i0": "completed", "i1": "failed", "i2": "completed", "i3": "pending"}  # the later half of the list is left
     retried = {r.id: r for r in catalog.retry(every, ids(spark, 1)).collect()}
     assert retried["i1"].status == "pending" and retried["i1"].error_message is None and retried["i1"].ocr_text == ""
     failed = {r.id: r for r in Run(NoBackend(), load=None).plan(given).collect()}
@@ -170,3 +171,67 @@ def test_remove_selected(spark):
     rest, selection = catalog.remove_selected(every, ids(spark, 1, 2))
     assert sorted(r.ord for r in rest.collect()) == [0, 3] and [r.id for r in selection.collect()] == ["i3"]
     assert catalog.disjoint(ids(spark, 1), ids(spark, 2)) and not catalog.disjoint(ids(spark, 1), ids(spark, 1, 2))
+
+
+def test_progress_of_items(spark):
+    """An image stands at 0.2 once decoded, a PDF at its pages; failures keep it. Pages come one by one."""
+    stub, s = StubRecognizer(), Settings()
+    assert recognize_item(b"one\ftwo", "png", stub, s) == ("one\ftwo", None, 1.0)
+    assert recognize_item(b"!bad", "png", stub, s) == (None, "stub: bad page", 0.2)
+    assert recognize_item(b"\xff", "png", stub, s) == (None, LOAD_FAILED, 0.0)
+    assert recognize_item(b"one\ftwo\f!bad\fmore", "pdf", stub, s) == (None, "stub: bad page", 0.5)
+    assert recognize_item(b"!none\ftwo\f!none\f", "pdf", stub, s) == ("two\n\n", None, 1.0)
+    assert recognize_item(b"one\f!none\f!bad\f", "pdf", stub, s) == (None, "stub: bad page", 0.25)
+    assert recognize_item(b"", "pdf", stub, s) == ("", None, 1.0)
+
+    class Lazy(StubRecognizer):
+        drawn = 0
+
+        def open(self, content, ext):
+            def pages():
+                for k in range(5000):
+                    Lazy.drawn = k + 1
+                    yield "!bad" if k == 2 else f"page {k}"
+
+            return Opened(5000, pages())
+
+    assert recognize_item(b"x", "pdf", Lazy(), s) == (None, "stub: bad page", 2 / 5000) and Lazy.drawn == 3
+
+
+def test_states_of_a_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    every = items(spark, [(k, "failed" if k == 1 else "pending", "old") for k in range(6)])
+    given = every.withColumn("content", F.encode(F.col("id"), "utf-8"))
+    seen = []
+
+    def save(df, k):
+        df.write.parquet(at := f"{tmp_path}/r{k}")
+        return spark.read.parquet(at)
+
+    Run(StubRecognizer(), batches=3, load=None).start(given, save, lambda now: seen.append([(r.status, r.ocr_text, r.progress) for r in now.orderBy("ord").collect()]))
+    assert len(seen) == 6
+    assert seen[0] == [("processing", "old", 0.0)] * 2 + [("pending", "old", 0.0)] * 4
+    assert seen[1][:2] == [("completed", "i0", 1.0), ("completed", "i1", 1.0)] and seen[2][2:4] == [("processing", "old", 0.0)] * 2
+    assert [x[0] for x in seen[5]] == ["completed"] * 6
+
+
+def test_export_to_a_store(spark, tmp_path):
+    """A URI goes through Hadoop's file systems; nothing is left beside the target."""
+    every = items(spark, [(0, "completed", "é\nb"), (1, "completed", "c")])
+    target = tmp_path / "out.txt"
+    for _ in range(2):  # an old file is replaced
+        assert write_export(every, target.as_uri(), Settings(include_filename=False))
+        assert target.read_bytes() == "é\nb\n\nc".encode()
+    assert not write_export(every, (tmp_path / "none.txt").as_uri(), ids=ids(spark, 7))
+    assert not write_export(every, (tmp_path / "no/folder.txt").as_uri())
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["out.txt"]
+
+
+def test_numbers_of_many_items(spark):
+    """Numbers are dense and in the order of paths, over many partitions."""
+    from pyspark.sql import functions as F
+
+    paths = spark.range(5000).select(F.concat(F.lit("/in/"), F.md5(F.col("id").cast("string")), F.lit(".png")).alias("path"), F.col("id").alias("length")).repartition(13)
+    rows = catalog.new_items(paths, "b", 7).orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(7, 5007)) and [r.path for r in rows] == sorted(r.path for r in rows)

@@ -57,3 +57,47 @@ def test_random_against_model(spark):
     for row in out.collect():
         for i, f in enumerate(flags):
             assert row[str(i)] == model(given[row.k], *f)
+
+
+CR_CASES = r'''
+"  a \r\n b " | w | "a \r\n b"
+"a \r\n b \n c " | w | "a \r\n b\nc"
+"a\r\n\n\n\nb" | e | "a\r\n\nb"
+"a\r\n\r\n\r\nb" | e | "a\r\n\r\n\r\nb"
+"a\r\nb\n \nc" | m | "a\r\nb c"
+"a-\r\nb-\nc" | h | "a-\r\nbc"
+" \r" | w | "\r"
+'''.strip().splitlines()
+
+
+@pytest.mark.parametrize("case", CR_CASES)
+def test_carriage_returns(spark, case):
+    """CR LF is one character, so no line ends there; a CR isn't trimmed."""
+    test_golden(spark, case)
+
+
+def test_random_with_carriage_returns(spark):
+    import random
+    import re
+    from itertools import product
+
+    def cr_model(t, h, w, e, m):
+        edge = " \t\u00a0\u3000"
+        if h:
+            t = t.replace("-\n", "")
+        if w:
+            t = "\n".join(x.strip(edge) for x in re.split(r"(?<!\r)\n", t))
+        if e:
+            t = re.sub("\n{3,}", "\n\n", t)
+        if m:
+            t = " ".join(y for x in re.split(r"(?<!\r)\n", t) if (y := x.strip(edge)))
+        return t
+
+    r = random.Random(2)
+    given = ["".join(r.choice(["a", "-", "\n", "\n", "\r\n", "\r", " ", "\t"]) for _ in range(r.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, t string").coalesce(1)
+    flags = list(product((False, True), repeat=4))
+    out = df.select("k", *(text.clean(df.t, Settings(remove_hyphen_breaks=h, trim_whitespace=w, remove_empty_lines=e, merge_line_breaks=m)).alias(str(i)) for i, (h, w, e, m) in enumerate(flags)))
+    for row in out.collect():
+        for i, f in enumerate(flags):
+            assert row[str(i)] == cr_model(given[row.k], *f)
