@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import stored
+from pagemill.llm.shared import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,13 +27,14 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     state = _state(links)
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        above = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(above, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = stored(large, "stars")
         least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _state(links)
+        new = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(links, above, down, least)
+        links, now = new, _state(new)
         if now == state:
             break
         state = now

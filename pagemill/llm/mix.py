@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import stored
+from pagemill.llm.shared import discard, stored
 
 #: A word is a run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -161,6 +161,8 @@ def mixed(docs: DataFrame, size: Column, doc_id: Column, source: Column, conf: M
     parts = F.transform(parts, lambda x: F.struct((x["a"] - F.col("begin")).alias("a"), (x["b"] - F.col("begin")).alias("b")))
     taken = F.col("passes") * F.col("size") + F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     found = laid.withColumn("parts", parts).select("at", "size", "source_size", "target", "passes", "parts", taken.cast("long").alias("taken"))
+    found = stored(found, "plan")
+    discard(dealt)
     return whole.select("at", "row").join(found, "at").drop("at")
 
 

@@ -28,3 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark, name)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*done: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more, so that they don't wait for the driver's end."""
+    for df in done:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/pagemill/" in folder:  # only what ``stored`` wrote
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

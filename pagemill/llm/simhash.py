@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.graph import components
-from pagemill.llm.shared import stored
+from pagemill.llm.shared import discard, stored
 
 BITS, SHINGLE, SEED = 4, 4, 42
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -205,31 +205,44 @@ def close_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.select("key", "fp").mapInArrow(_links(bits), "u long, v long")
 
 
+def _rooted(prints: DataFrame, bits: int) -> DataFrame:
+    """``prints`` (fp, ...) of different fingerprints with the root of each one's component."""
+    roots = stored(components(close_links(prints.select("fp"), bits)), "roots")
+    return prints.join(roots, prints.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
     fingerprint: 16 lower-case hex digits. component_id: the smallest doc_id that links reach, its own
     included; links hold between fingerprints of at most ``bits`` differing bits, equal ones included. Null
-    and empty texts have fingerprint 0 and link like any other. Null ids count for nothing: a group of such
-    rows only has a null component. Repeated rows are rows of their own; an empty table gives no rows.
+    and empty texts have fingerprint 0 and link like any other; of very long texts all shingles count. Null ids
+    count for nothing: a group of such rows only has a null component. Repeated rows are rows of their own; an
+    empty table gives no rows.
     """
     rows = stored(fingerprints(docs), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = stored(components(close_links(prints.select("fp"), bits)), "roots")
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, bits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")  # stored: copies meet it in a join that Spark may split
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows of ``docs`` without those whose component has a smaller id; of rows that share an id one stays. Rows without id stay."""
-    rows = stored(near_duplicates(docs, bits), "components")
-    found = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept  # ids are unique: no second shuffle of the texts
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Rows of ``docs``, one of each component: that with the smallest doc_id, null last.
+
+    Rows that share an id are told apart by a hash of their texts, the least of which stays if both are of one
+    component; rows of different components stay. Of repeated rows one stays. Null and empty texts are of one
+    component; an empty table gives no rows; columns stay as they are.
+    """
+    text = F.col("text").cast("string")
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
+    whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "documents")
+    rows = stored(fingerprints(whole.select(F.col("at").alias("doc_id"), "row.text")).withColumnRenamed("doc_id", "at"), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "at")
+    prints = stored(rows.join(whole.drop("row"), "at").groupBy("fp").agg(F.min(place).alias("first")), "prints")
+    kept = _rooted(prints, bits).groupBy("root").agg(F.min("first").alias("first")).select("first.at")
+    return whole.select("at", "row").join(stored(kept, "kept"), "at", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 # --- near copies of a given similarity -------------------------------------------------------------------
@@ -244,7 +257,10 @@ class Near:
     places: int = 40  # positional bytes; each equal with a chance of the similarity
     together: int = 4  # bytes that make a key
     least: int = 22  # equal bytes of a candidate pair; of 40, similar pairs have 32 on average and fewer once in 10,000
+    strong: int = 34  # equal bytes of the pairs that link a long list at first
     small: int = 64  # lists up to this size give all their candidate pairs at once
+    wide_places: int = 512  # positional bytes by which rows of long lists are compared further
+    wide_least: int = 376  # of 512, similar pairs have 410 on average and fewer once in 10,000
     seed: int = 42
 
 
@@ -269,12 +285,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def positional_bytes(hashes: np.ndarray, conf: Near = Near()) -> np.ndarray:
+def positional_bytes(hashes: np.ndarray, places: int) -> np.ndarray:
     """Byte k comes from the shingle whose hash is least under the k-th mixing: texts agree in it if that is the same shingle."""
-    out = np.empty(conf.places, np.uint64)
-    turns = _mix(np.arange(1, conf.places + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.empty(places, np.uint64)
+    turns = _mix(np.arange(1, places + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     block = max(1, (1 << 20) // max(1, len(hashes)))
-    for at in range(0, conf.places, block):  # very long texts a few places at a time
+    for at in range(0, places, block):  # very long texts a few places at a time
         out[at : at + block] = _mix(hashes[None] ^ turns[at : at + block, None]).min(axis=1)
     return (_mix(out) & np.uint64(255)).astype(np.uint8)
 
@@ -297,7 +313,7 @@ def _signed(text: Column, conf: Near) -> Column:
                     octets.append(None)
                     keys.append(None)
                     continue
-                found = positional_bytes(hashes, conf)
+                found = positional_bytes(hashes, conf.places)
                 parts = found[: lists * conf.together].reshape(lists, -1).astype(np.int64)
                 key = np.arange(lists, dtype=np.int64)
                 for k in range(conf.together):
@@ -316,10 +332,15 @@ def _shares(least: int):
     return close
 
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, positional bytes) of a list."""
-    octets = b"".join(table.column("bytes").to_pylist())
-    return table.column("nr").to_numpy(), np.frombuffer(octets, np.uint8).reshape(table.num_rows, -1)
+def _octet_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _met_first(equal: np.ndarray, table: np.ndarray | int, conf: Near) -> np.ndarray:
+    """Whether the first list that a pair shares is that of ``table``, by its equal positions: it counts there only."""
+    lists = conf.places // conf.together
+    whole = equal[:, : lists * conf.together].reshape(len(equal), lists, conf.together).all(axis=2)
+    return whole.argmax(axis=1) == table
 
 
 _PAIRS = "u long, v long, key long, bytes binary"
@@ -331,16 +352,15 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _first_pairs(conf: Near):
-    """Candidate pairs of lists (key, nr, bytes): all of a short list, a spanning forest of a long one, whose rows follow as (nr, null, key, bytes)."""
-    close = _shares(conf.least)
+    """Candidate pairs of lists (key, nr, bytes): all of a short list, strong ones of a spanning forest of a long one,
+    whose rows follow as (nr, null, key, bytes)."""
 
     def short(size_of: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero((size_of > 1) & (size_of <= conf.small))
         if not len(some):
             return
         part = table.take(pa.array(some)).combine_chunks()
-        keys, (nrs, octets) = part.column("key").to_numpy(), _rows(part)
-        table_nr = keys >> 8 * conf.together
+        keys, nrs, octets = part.column("key").to_numpy(), part.column("nr").to_numpy(), _octet_rows(part.column("bytes"))
         for lag in range(1, conf.small):
             same = np.flatnonzero(keys[lag:] == keys[:-lag]) if len(keys) > lag else []
             if not len(same):
@@ -348,16 +368,13 @@ def _first_pairs(conf: Near):
             for at in range(0, len(same), 1 << 16):
                 x = same[at : at + (1 << 16)]
                 equal = octets[x] == octets[x + lag]
-                ok = equal.sum(axis=1) >= conf.least
-                # a pair comes from the first of the lists that it shares
-                whole = equal[:, : equal.shape[1] // conf.together * conf.together].reshape(len(x), -1, conf.together).all(axis=2)
-                ok &= whole.argmax(axis=1) == table_nr[x]
+                ok = (equal.sum(axis=1) >= conf.least) & _met_first(equal, keys[x] >> 8 * conf.together, conf)
                 yield _pair_batch(nrs[x[ok]], nrs[x[ok] + lag])
 
     def long(key: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        nrs, octets = _rows(table)
+        nrs, octets = table.column("nr").to_numpy(), _octet_rows(table.column("bytes"))
         first = (key >> 8 * conf.together) * conf.together
-        found = np.array(_forest(octets, close, conf.least, tuple(range(first, first + conf.together))), np.int64).reshape(-1, 2)
+        found = np.array(_forest(octets, _shares(conf.strong), conf.strong, tuple(range(first, first + conf.together))), np.int64).reshape(-1, 2)
         yield _pair_batch(nrs[found[:, 0]], nrs[found[:, 1]])
         n = table.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(nrs), pa.nulls(n, pa.int64()), *(table.column(c).combine_chunks() for c in ("key", "bytes"))], names=["u", "v", "key", "bytes"])
@@ -366,45 +383,62 @@ def _first_pairs(conf: Near):
 
 
 def _more_pairs(conf: Near, most: int):
-    """Candidate pairs (u, v, more) of long lists (key, nr, root, bytes) between rows of different roots: for each row
-    the ``most`` with most equal bytes. ``more``: whether there are others."""
+    """Candidate pairs (u, v, more) of long lists (key, nr, root, bytes, wide) between rows of different roots: for each
+    row the ``most`` with most equal wide bytes. ``more``: whether there are others."""
 
     def long(key: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        nrs, octets = _rows(table)
         roots = table.column("root").to_numpy()
         names, counts = np.unique(roots, return_counts=True)
         if len(names) < 2:
             return
+        nrs, octets, wide = table.column("nr").to_numpy(), _octet_rows(table.column("bytes")), _octet_rows(table.column("wide"))
         # any pair of different roots has a row outside the largest group
         for x in np.flatnonzero(roots != names[counts.argmax()]).tolist():
-            equal = (octets[x] == octets).sum(axis=1)
-            near = np.flatnonzero((equal >= conf.least) & (roots != roots[x]))
+            near = np.flatnonzero(roots != roots[x])
+            near = near[_met_first(octets[near] == octets[x], key >> 8 * conf.together, conf)]
+            equal = (wide[near] == wide[x]).sum(axis=1)
+            near, equal = near[equal >= conf.wide_least], equal[equal >= conf.wide_least]
             if not len(near):
                 continue
             more = len(near) > most
             if more:
-                near = near[np.lexsort((nrs[near], -equal[near]))[:most]]
+                near = near[np.lexsort((nrs[near], -equal))[:most]]
             a, b = np.full(len(near), nrs[x]), nrs[near]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(near), more))], names=["u", "v", "more"])
 
     return _each_list(long)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, whole: DataFrame, conf: Near) -> DataFrame:
-    """The pairs (u, v) whose texts are as similar as is asked, by all their shingles. Only texts of pairs are moved."""
+def _shingled(whole: DataFrame, found: DataFrame, conf: Near) -> tuple[DataFrame, DataFrame]:
+    """(nr, of) of all texts in pairs or long lists, their shingles, and (nr, wide) of the latter. Texts are moved once."""
     from pyspark.sql.functions import arrow_udf
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([shingles(x.as_py(), conf).view(np.int64) for x in batch], pa.list_(pa.int64()))
 
-    pairs = stored(pairs.select("u", "v").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("nr")).distinct().join(classes.select("nr", "first.at"), "nr")
+    def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if not x.is_valid else positional_bytes(x.values.to_numpy().view(np.uint64), conf.wide_places).tobytes() for x in batch], pa.binary())
+
+    each = found.select(F.explode(F.array("u", "v")).alias("at"), F.col("v").isNull().alias("long")).where("at IS NOT NULL")
+    # a number for each, so that few of them go to all tasks as they are
+    needed = stored(each.select("at").distinct(), "needed")
     texts = whole.select("at", F.col("row.text").cast("string").alias("text")).join(needed, "at")
-    sets = stored(texts.select("nr", arrow_udf(run, "array<long>")("text").alias("of")), "shingles")
-    both = pairs.join(sets.select(F.col("nr").alias("u"), F.col("of").alias("a")), "u").join(sets.select(F.col("nr").alias("v"), F.col("of").alias("b")), "v")
+    of = stored(texts.select(F.col("at").alias("nr"), arrow_udf(sets, "array<long>")("text").alias("of")), "shingles")
+    listed = each.where("long").select(F.col("at").alias("nr")).distinct()
+    more = of.join(listed, "nr", "left_semi").select("nr", arrow_udf(wide, "binary")("of").alias("wide"))
+    return of, stored(more, "wide")
+
+
+def _similar(pairs: DataFrame, of: DataFrame, conf: Near) -> DataFrame:
+    """The pairs (u, v) whose texts are as similar as is asked, by all their shingles."""
+    pairs = stored(pairs.select("u", "v").distinct(), "pairs")
+    both = pairs.join(of.select(F.col("nr").alias("u"), F.col("of").alias("a")), "u").join(of.select(F.col("nr").alias("v"), F.col("of").alias("b")), "v")
     both = both.select("u", "v", F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("shared"))
-    return stored(both.where(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")) >= conf.similarity).select("u", "v"), "similar")
+    links = stored(both.where(F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")) >= conf.similarity).select("u", "v"), "similar")
+    discard(pairs)
+    return links
 
 
 def distinct_documents(docs: DataFrame, conf: Near = Near()) -> DataFrame:
@@ -421,35 +455,42 @@ def distinct_documents(docs: DataFrame, conf: Near = Near()) -> DataFrame:
     equal with a chance of the similarity. They are indexed by position, four at a time; equal bytes of pairs
     that meet are counted, and pairs that reach the minimum are verified by all shingles of both texts.
 
-    A long list, as of a large group of near copies, gives a spanning forest first. Where verified links leave it
-    in several groups, each row outside the largest is compared with others of other groups, best ones first and
-    ever more of them, until none is left that reaches the minimum: so no pair that meets is lost.
+    A long list, as of a large group of near copies, gives a spanning forest of strong pairs first. Where verified
+    links leave it in several groups, each row outside the largest is compared by many more bytes with rows of other
+    groups, best ones first and ever more of them, until none is left that reaches the minimum: so of the pairs
+    that meet none is lost but by the chance that ``Near`` states.
     """
     columns = docs.columns
     given = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _signed(F.col("text").cast("string"), conf).alias("s"), F.col("doc_id").cast("long").alias("id"))
     whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "documents")
-    # copies of a text arrive as a row from each task
+    # copies of a text arrive as a row from each task; the number of the first row stands for the text
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
     classes = whole.groupBy("s.cid").agg(F.min(place).alias("first"), F.first("s.bytes").alias("bytes"), F.first("s.keys").alias("keys"))
-    classes = stored(classes.withColumn("nr", F.monotonically_increasing_id()), "texts")
+    classes = stored(classes.withColumn("nr", F.col("first.at")), "texts")
     postings = classes.select(F.explode("keys").alias("key"), "nr", "bytes").repartition("key").sortWithinPartitions("key")
     found = stored(postings.mapInArrow(_first_pairs(conf), _PAIRS), "candidates")
-    links = _similar(found.where("v IS NOT NULL"), classes, whole, conf)
+    of, wide = _shingled(whole, found, conf)
+    links = _similar(found.where("v IS NOT NULL"), of, conf)
     roots = stored(components(links), "roots")
-    lists, most = found.where("v IS NULL").select("key", F.col("u").alias("nr"), "bytes"), 4
+    lists = stored(found.where("v IS NULL").select("key", F.col("u").alias("nr"), "bytes").join(wide, "nr"), "lists")
+    most = 16
     while True:
-        named = lists.join(roots.withColumnRenamed("node", "nr"), "nr", "left").select("key", "nr", F.coalesce("root", "nr").alias("root"), "bytes")
+        named = lists.join(roots.withColumnRenamed("node", "nr"), "nr", "left").select("key", "nr", F.coalesce("root", "nr").alias("root"), "bytes", "wide")
         dealt = named.repartition("key").sortWithinPartitions("key")
         more = stored(dealt.mapInArrow(_more_pairs(conf, most), "u long, v long, more boolean"), "candidates")
         if more.isEmpty():
             break
-        new = _similar(more, classes, whole, conf)
+        new, last = _similar(more, of, conf), more.where("more").isEmpty()
+        discard(more)
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = stored(components(links), "roots")
-        if more.where("more").isEmpty():
+        if last:
             break
-        most *= 4
+        most *= 16
     rooted = classes.select("nr", "first").join(roots.withColumnRenamed("node", "nr"), "nr", "left")
     kept = rooted.groupBy(F.coalesce("root", "nr").alias("root")).agg(F.min("first").alias("first")).select("first.at")
-    return whole.select("at", "row").join(stored(kept, "kept"), "at", "left_semi").select(*(F.col(f"row.`{c}`") for c in columns))
+    # what goes is less than what stays, and Spark may send it to all tasks
+    gone = stored(whole.select("at").join(kept, "at", "left_anti"), "gone")
+    discard(classes, found, of, wide, links, lists, roots)
+    return whole.select("at", "row").join(gone, "at", "left_anti").select(*(F.col(f"row.`{c}`") for c in columns))

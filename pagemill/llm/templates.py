@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import stored
+from pagemill.llm.shared import discard, stored
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,9 @@ def recurring_lines(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     # copies of a text have the same hits
     hits = hits.join(names, "text_no").groupBy("text_key", "text_more").agg(F.first("hits").alias("hits"))
     # stored: a text with very many copies meets its hits in a join that Spark may split
-    return stored(hits, "hits")
+    hits = stored(hits, "hits")
+    discard(rows, often)
+    return hits
 
 
 def deduplicated(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:

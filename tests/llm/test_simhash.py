@@ -228,7 +228,7 @@ def test_pairs_of_every_similarity(spark):
 
 def test_positional_bytes_of_long_texts():
     many = np.random.default_rng(3).integers(0, 1 << 63, (1 << 20) + 5).astype(np.uint64)
-    got = simhash.positional_bytes(many)
+    got = simhash.positional_bytes(many, 40)
     turn = simhash._mix(np.array([40], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     assert got[39] == simhash._mix(np.array([simhash._mix(many ^ turn).min()]))[0] & np.uint64(255)
     assert len(simhash.shingles("a b c")) == 1 and len(simhash.shingles(" ")) == 0 and len(simhash.shingles("a b c d e a b c d e f")) == 6
@@ -246,3 +246,11 @@ def test_distinct_awkward(spark):
     assert sorted((str(r.doc_id), (r.text or "").lower().split()[:2]) for r in got) == [("7", ["one", "two"]), ("7", ["quite", "another"]), ("9", []), ("None", ["no", "id"])]
     assert simhash.distinct_documents(documents(spark, [])).count() == 0
     assert simhash.distinct_documents(documents(spark, [(1, None, None, None), (2, " ", None, None)])).count() == 1
+
+
+def test_representatives_of_rows_that_share_an_id(spark):
+    same = "the same words stand here in this row for all of them"
+    rows = [(7, same, "en", "a"), (7, same, "en", "b"), (7, "something else altogether is written in this one", "en", "a"), (9, same, "en", "a"), (None, same, "en", "a"), (None, "only without an id", "en", "a")]
+    for partitions in (1, 4):
+        got = simhash.representatives(documents(spark, rows, partitions)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("7", same), ("7", rows[2][1]), ("None", "only without an id")])
