@@ -283,15 +283,18 @@ def _meet(conf: Conf):
     return run
 
 
-def matches(prints: DataFrame, ids: list[str], is_query: Column, conf: Conf = Conf()) -> DataFrame:
-    """(ids..., copies, match, offset, votes, bit_errors, overlap, n_matches, matches) for each query row of (ids..., fp).
+def matches(prints: DataFrame, ids: list[str], is_query: Column, conf: Conf = Conf(), every: bool = True) -> DataFrame:
+    """(ids..., copies, match, offset, votes, bit_errors, overlap, n_matches[, matches]) for each query row of (ids..., fp).
 
     copies: rows whose fingerprint equals the query's, itself included. matches: every other fingerprint that
     agrees, n_matches of them, by votes, then fewer bit errors, each as (match, offset, votes, bit_errors,
     overlap, copies) with its own number of rows. match: the ids, smallest first, of one as a struct;
     ``offset`` is where its integer stands against the query's first. The columns before n_matches are those of
     the best one. No other recording agrees: nulls, and no matches. Null fingerprints match nothing, with 0 copies.
-    Repeated rows are copies of each other; an empty table gives no rows.
+    Repeated rows are copies of each other; an empty table gives no rows. Recordings may have any length.
+
+    ``every``: whether all matches come, in one value for each query, which must hold them; without it they are
+    counted and the best one is found by partial aggregates, however many there are.
     """
     name = F.struct(*(F.col(c) for c in ids))
     known = prints.where("fp IS NOT NULL").withColumn("cid", F.md5("fp"))
@@ -311,17 +314,16 @@ def matches(prints: DataFrame, ids: list[str], is_query: Column, conf: Conf = Co
     # sorts by votes, most first, then errors, then fingerprint
     each = F.struct((-F.col("votes")).alias("rank"), F.col("errors").alias("bit_errors"), "other", "match", "offset", "votes", "overlap", "copies")
     fields = ("match", "offset", "votes", "bit_errors", "overlap", "copies")
-    all_of = F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
-    links = found.groupBy("cid").agg(all_of.alias("matches"))
+    links = found.groupBy("cid").agg(F.min(each).alias("best"), F.count("*").alias("n_matches"), *([F.collect_list(each).alias("matches")] if every else []))
     asked = prints.where(is_query).select(*ids, F.md5("fp").alias("cid"))
     got = asked.join(entries.where("asked").select("cid", "copies"), "cid", "left").join(links, "cid", "left")
-    best = F.get("matches", F.lit(0))
+    all_of = F.transform(F.array_sort(F.coalesce("matches", F.array().cast(links.schema["matches"].dataType))), lambda x: F.struct(*(x[f].alias(f) for f in fields))) if every else None
     return got.select(
         *ids,
         F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
-        *(best[f].alias(f) for f in fields[:-1]),
-        F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"),
-        F.coalesce("matches", F.array().cast(found.select(F.array(F.struct(*(F.col("errors").alias(f) if f == "bit_errors" else F.col(f) for f in fields)))).schema[0].dataType)).alias("matches"),
+        *(F.col(f"best.{f}").alias(f) for f in fields[:-1]),
+        F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
+        *([all_of.alias("matches")] if every else []),
     )
 
 

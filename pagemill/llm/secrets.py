@@ -180,7 +180,8 @@ def find_secrets(docs: DataFrame, conf: Conf = Conf()) -> DataFrame:
     """A row for each document: counts and digest of base spans, all spans, and the strings themselves.
 
     Places are code points, ends exclusive. A null text is an empty one; without spans the digest is that of
-    the empty string. Repeated rows are scanned alike; an empty table gives no rows.
+    the empty string. Whole texts are scanned, in time that grows with their length. Repeated rows, and rows
+    without an id, are scanned alike; an empty table gives no rows; further columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

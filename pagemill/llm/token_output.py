@@ -122,6 +122,7 @@ def write_matrices(docs: DataFrame, folder: str | None = None, path: str | None
     """Files for (doc_id, text) as (path, number, rows, tokens); ``number`` is unique. A null text is an empty one and has the end id only.
 
     Rows that repeat or share an id are documents of their own; no rows give no files. Other columns play no part.
+    A very long text is split without loss, and may go on in the next file.
     ``literals``: as in ``bpe``.
     """
     folder, path = folder or shared_folder(docs.sparkSession, "tokens"), path or default_vocabulary()
@@ -155,7 +156,10 @@ def write_matrices(docs: DataFrame, folder: str | None = None, path: str | None
 
 
 def read_matrices(files: DataFrame) -> DataFrame:
-    """The segments of the files, with the checksum of the ids that were read and whether their positions count up from 0."""
+    """The segments of the files, with the checksum of the ids that were read and whether their positions count up from 0.
+
+    Null ids come back as null; texts that share an id, repeated ones too, as segments of their own; no files give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -138,3 +138,52 @@ def test_stretch():
     scattered[150:180] = r.integers(0, 1 << 32, 30)
     scattered[[40, 100, 190, 280]] = a[[10, 70, 160, 250]]
     assert chroma.stretch(a, scattered, 30, 4, CONF) is None
+
+
+def test_query_against_brute_force(spark):
+    """Every query turn against every other turn, one pair at a time, with turns that share passages added to the table."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    real = [(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    r = random.Random(4)
+    own = [" ".join(words(100 + k, 60)) for k in range(4)]
+    rows = real + [(2000 + 10 * k, 0, " ".join(words(200 + k, r.randrange(5, 30))) + " " + " ".join(own[k % 4].split()[k : k + 40])) for k in range(24)]
+    rows += [(1100, 0, own[0]), (1101, 0, own[0]), (1120, 0, None), (1140, 0, ""), (1160, 1, real[5][2])]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4).write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/turns-{r.random()}/conversations.parquet")
+    got = {(x.conv_id, x.turn): x for x in queries.op4_chroma(spark, path.rsplit("/", 1)[0]).collect()}
+    maker, notes, prints = chroma.Fingerprinter(), chroma._notes(), {}
+    for c, t, text in rows:
+        codes = [zlib.crc32(w.encode()) % 576 for w in (text or "").lower().split()]
+        if codes:
+            prints[c, t] = maker.integers(*chroma.samples(chroma.wav(notes[codes].ravel(), chroma.RATE)))
+    assert got.keys() == {(c, t) for c, t, _ in rows if c % 20 == 0}
+    different = {p.tobytes(): min(k for k, q in prints.items() if q.tobytes() == p.tobytes()) for p in prints.values()}
+    linked = 0
+    for key, x in got.items():
+        a = prints.get(key)
+        if a is None:
+            assert (x.copies, x.n_matches, x.match_conv_id) == (0, 0, None)
+            continue
+        assert x.copies == sum(q.tobytes() == a.tobytes() for q in prints.values())
+        found = []
+        for data, name in different.items():
+            b = np.frombuffer(data, "<u4")
+            if data == a.tobytes():
+                continue
+            need = min(chroma._least(a, chroma._starts(a), CONF), chroma._least(b, chroma._starts(b), CONF))
+            votes = {}
+            for i in chroma._starts(a):
+                for j in chroma._starts(b)[b[chroma._starts(b)] == a[i]]:
+                    votes[int(j - i)] = votes.get(int(j - i), 0) + 1
+            for offset in sorted((o for o, n in votes.items() if n >= need), key=lambda o: (-votes[o], o)):
+                agreed = chroma.stretch(a, b, offset, need, CONF)
+                if agreed:
+                    found.append((-votes[offset], agreed[0], name, offset, agreed[1]))
+                    break
+        assert x.n_matches == len(found)
+        if found:
+            linked += 1
+            best = [f for f in found if f[:2] == min(found)[:2]]
+            assert (-x.votes, x.bit_errors, (x.match_conv_id, x.match_turn), x.offset, x.overlap) in best
+    assert linked >= 5
