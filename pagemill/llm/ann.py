@@ -354,20 +354,21 @@ def _meet(keep: int):
             x = seen.values.to_numpy()
             for place in np.searchsorted(here, x[np.isin(x, here)]).tolist():
                 visits[place].append(k)
+        visits = [np.array(who, np.int64) for who in visits]
         held = left.column("embedding").combine_chunks()
 
-        def compared(asked: set[int] | None, most: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        def compared(asked: np.ndarray, most: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
             """(query, scores, entries, edge) in the order of scores: ``most`` entries of each leaf, or all. Further ones are beyond the edge."""
             qs, rs, ss = [], [], []
             edge = np.full(right.num_rows, np.inf)
             for place, who in enumerate(visits):
-                who = who if asked is None else [k for k in who if k in asked]
-                if not who:
+                who = who[np.isin(who, asked)]
+                if not len(who):
                     continue
                 rows = _matrix(held.slice(int(starts[place]), int(ends[place] - starts[place])))
                 q = _matrix(vectors.take(pa.array(who)))
                 for a, r in _nearest(q, rows, most or len(rows)):
-                    qs.append(np.array(who)[a])
+                    qs.append(who[a])
                     rs.append(r + starts[place])
                     ss.append(_scores(q[a], rows[r]))
                     if most and len(rows) > most:
@@ -381,15 +382,16 @@ def _meet(keep: int):
             for some in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
                 yield int(q[some[0]]), s[some], r[some], float(edge[q[some[0]]])
 
-        out, short = [], set()
-        for k, score, entry, edge in compared(None, keep):
-            got = _first_ids(score, entry, ids, keep)
-            if got is None or got[-1][0] > edge:
-                short.add(k)
-            else:
-                out += [(cids[k], s, i) for s, i in got]
+        out, short = [], []
+        for at in range(0, right.num_rows, 1024):  # what is found so far is held for so many queries
+            for k, score, entry, edge in compared(np.arange(at, at + 1024), keep):
+                got = _first_ids(score, entry, ids, keep)
+                if got is None or got[-1][0] > edge:
+                    short.append(k)
+                else:
+                    out += [(cids[k], s, i) for s, i in got]
         for at in range(0, len(short), 64):  # ids that repeat crowd the nearest: all rows of the visited leaves
-            for k, score, entry, _ in compared(set(sorted(short)[at : at + 64]), None):
+            for k, score, entry, _ in compared(np.array(short[at : at + 64]), None):
                 best: dict[int, float] = {}
                 for s, e in zip(score.tolist(), entry.tolist(), strict=True):
                     for i in ids[e]:
