@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import discard, stored
+from pagemill.llm.shared import discard, row_columns, stored, whole_row
 
 #: A word is a run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,7 +129,7 @@ def mixed(docs: DataFrame, size: Column, doc_id: Column, source: Column, conf: M
     """
     spark = docs.sparkSession
     tie = F.lit(0).cast("long") if tie is None else tie.cast("long")
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), size.alias("size"), source.alias("source"), _seeded(conf.seed, doc_id).alias("key"), tie.alias("tie"))
+    given = docs.select(whole_row(docs).alias("row"), size.alias("size"), source.alias("source"), _seeded(conf.seed, doc_id).alias("key"), tie.alias("tie"))
     whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "mix")
     rows = whole.drop("row")
     by = sorted(((r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -203,7 +203,7 @@ def mixed_texts(docs: DataFrame, conf: Mix = Mix()) -> DataFrame:
     lead = F.when(F.col("row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)  # white space before the first word is a piece
     part = F.array_join(F.slice(pieces, (F.col("part.a") + lead + 1).cast("int"), (F.col("part.b") - F.col("part.a")).cast("int")), "")
     new = F.when((F.col("part.a") == 0) & (F.col("part.b") == F.col("size")), F.col("row.text")).otherwise(part)
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": new}
+    out = dict(zip(docs.columns, row_columns(docs), strict=True)) | {"text": new}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(new).cast(docs.schema["n_chars"].dataType)
     return each.select(*(v.alias(c) for c, v in out.items()))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -38,3 +40,13 @@ def discard(*done: DataFrame) -> None:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             if "/pagemill/" in folder:  # only what ``stored`` wrote
                 at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct that files can hold: a column without a type is kept as text."""
+    return F.struct(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, NullType) else F.col(f"`{f.name}`") for f in docs.schema))
+
+
+def row_columns(docs: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``whole_row`` as they were."""
+    return [F.lit(None).alias(f.name) if isinstance(f.dataType, NullType) else F.col(f"{row}.`{f.name}`") for f in docs.schema]

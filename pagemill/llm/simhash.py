@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.graph import components
-from pagemill.llm.shared import discard, stored
+from pagemill.llm.shared import discard, row_columns, stored, whole_row
 
 BITS, SHINGLE, SEED = 4, 4, 42
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -236,13 +236,13 @@ def representatives(docs: DataFrame, bits: int = BITS) -> DataFrame:
     component; an empty table gives no rows; columns stay as they are.
     """
     text = F.col("text").cast("string")
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
+    given = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "documents")
     rows = stored(fingerprints(whole.select(F.col("at").alias("doc_id"), "row.text")).withColumnRenamed("doc_id", "at"), "fingerprints")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "at")
     prints = stored(rows.join(whole.drop("row"), "at").groupBy("fp").agg(F.min(place).alias("first")), "prints")
     kept = _rooted(prints, bits).groupBy("root").agg(F.min("first").alias("first")).select("first.at")
-    return whole.select("at", "row").join(stored(kept, "kept"), "at", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return whole.select("at", "row").join(stored(kept, "kept"), "at", "left_semi").select(*row_columns(docs))
 
 
 # --- near copies of a given similarity -------------------------------------------------------------------
@@ -460,8 +460,7 @@ def distinct_documents(docs: DataFrame, conf: Near = Near()) -> DataFrame:
     groups, best ones first and ever more of them, until none is left that reaches the minimum: so of the pairs
     that meet none is lost but by the chance that ``Near`` states.
     """
-    columns = docs.columns
-    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _signed(F.col("text").cast("string"), conf).alias("s"), F.col("doc_id").cast("long").alias("id"))
+    given = docs.select(whole_row(docs).alias("row"), _signed(F.col("text").cast("string"), conf).alias("s"), F.col("doc_id").cast("long").alias("id"))
     whole = stored(given.withColumn("at", F.monotonically_increasing_id()), "documents")
     # copies of a text arrive as a row from each task; the number of the first row stands for the text
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "at")
@@ -493,4 +492,4 @@ def distinct_documents(docs: DataFrame, conf: Near = Near()) -> DataFrame:
     # what goes is less than what stays, and Spark may send it to all tasks
     gone = stored(whole.select("at").join(kept, "at", "left_anti"), "gone")
     discard(classes, found, of, wide, links, lists, roots)
-    return whole.select("at", "row").join(gone, "at", "left_anti").select(*(F.col(f"row.`{c}`") for c in columns))
+    return whole.select("at", "row").join(gone, "at", "left_anti").select(*row_columns(docs))

@@ -81,3 +81,19 @@ def test_awkward_and_empty(spark):
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), docs.schema)
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_columns_of_any_type(spark):
+    """Nested columns, columns without a type and names with odd characters pass through all stages but the last."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(k, f"some own words of number {'abcdefghij'[k]} stand here for it alone " * 9, "en", "ab"[k % 2]) for k in range(10)])
+    odd = docs.withColumns({"none": F.lit(None), "a.b c": F.array(F.struct(F.lit(1).alias("x"))), "at": F.create_map(F.lit("k"), F.lit(2)), "when": F.to_date(F.lit("2020-01-02"))})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.dtypes == odd.dtypes
+        rows = out.collect()
+        assert rows and all(r["a.b c"][0].x == 1 and r["at"] == {"k": 2} and r["none"] is None and str(r["when"]) == "2020-01-02" for r in rows)
+    kept = simhash.representatives(odd)
+    assert kept.count() == 10 and kept.columns == odd.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() >= 10
