@@ -214,7 +214,14 @@ def _auto_start(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listing(hidden: bool) -> Query:
-    return lambda spark, d: list_paths(spark, [d, f"{d}/nothing-here"], include_hidden=hidden).select(names.file_name(F.col("path")).alias("file_name"), (F.col("length") > 0).alias("has_bytes"))
+    """The tables' own files; a path that isn't there adds nothing."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        path = F.col("path")
+        listed = list_paths(spark, [d, f"{d}/nothing-here"], include_hidden=hidden)
+        return listed.where(names.extension(path) == "parquet").select(names.file_name(path).alias("file_name"), (F.col("length") > 0).alias("has_bytes"))
+
+    return query
 
 
 def _disjoint(spark: SparkSession, d: str) -> DataFrame:
