@@ -9,6 +9,7 @@ whose marginal cost is high for their length are reported; nothing but these cos
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 FREQUENT_WORDS = 9_300
+# stands before all surroundings: behind a few bytes a compressor stores anything as it is
+_LEAD = "It was a quiet morning in the valley, and most of the people who lived there had already gone down to the river to look at the boats that came in during the night. "
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _LONG = re.compile(r"[0-9a-f]{24,}")
 
@@ -41,9 +44,8 @@ class Conf:
     before: int = 64  # characters between a sensitive word and what it makes suspicious, on either side
     around: int = 512  # characters of surrounding text on each side
     # marginal bytes for each byte of the candidate behind a quick parse, one with all words, and one with frequent words
-    least_shares: tuple[float, float, float] = (0.7, 0.7, 0.7)
-    short: int = 14  # below so many characters, where whole bytes are coarse, these hold
-    short_shares: tuple[float, float, float] = (0.65, 0.75, 0.7)
+    least_shares: tuple[float, float, float] = (0.3, 0.6, 0.64)
+    least_bits: float = 56.0  # that a candidate's length and kinds of characters can carry; a card number can't
 
 
 def _words() -> list[bytes]:
@@ -135,30 +137,53 @@ def _candidates(text: str, conf: Conf) -> Iterator[tuple[int, int]]:
                     yield part.span()
 
 
+def bits(candidate: str) -> float:
+    """How much a random string of that length over the same kinds of characters carries."""
+    letters = [c for c in candidate if c.isalpha()]
+    hexadecimal = all(c in "abcdef" for c in letters) or all(c in "ABCDEF" for c in letters)
+    sizes = ((6 if hexadecimal else 26) if any(c.islower() for c in letters) else 0) + ((6 if hexadecimal else 26) if any(c.isupper() for c in letters) else 0)
+    return len(candidate) * math.log2(max(2, sizes + 10 * any(c.isdigit() for c in candidate)))
+
+
 def is_new(candidate: str, around: str, conf: Conf = Conf()) -> bool:
-    """Whether every parse finds the candidate new; the quick one comes first."""
-    quick, thorough, frequent = conf.short_shares if len(candidate) < conf.short else conf.least_shares
+    """Whether every parse finds the candidate new behind its surroundings; the quick one comes first."""
+    quick, thorough, frequent = conf.least_shares
+    around = _LEAD + around
     return (
-        novelty(candidate, around) >= quick
+        bits(candidate) >= conf.least_bits
+        and novelty(candidate, around) >= quick
         and novelty(candidate, around, _thorough) >= thorough
         and novelty(candidate.lower(), around, _frequent) >= frequent
     )
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], conf: Conf = Conf()) -> list[tuple[int, int, str]]:
-    """Strings near a sensitive word on either side, new to the compressors and outside base spans (by start); they don't overlap."""
-    out, done = [], -1
+    """Strings near a sensitive word on either side, new to the compressors and outside base spans (by start); they don't overlap.
+
+    Keys don't excuse each other, nor their own copies: a string that is new behind surroundings without any other
+    candidate doesn't count as surroundings of others.
+    """
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    asked, done = [], -1
     for a, b in _candidates(text, conf):
         before = bisect_left(starts, b)
-        if a < done or before and reach[before - 1] > a or SENSITIVE.fullmatch(text, a, b):
-            continue
-        key = text[a:b]
-        around = (text[max(0, a - conf.around) : a] + text[b : b + conf.around]).replace(key, " ")  # copies don't excuse each other
-        if is_new(key, around, conf):
-            out.append((a, b, "novel"))
+        if a >= done and not (before and reach[before - 1] > a) and not SENSITIVE.fullmatch(text, a, b):
+            asked.append((a, b))
             done = b
-    return out
+
+    def around(a: int, b: int, without: list[tuple[int, int]]) -> str:
+        """The surroundings of [a, b) but for the spans ``without``, which come by place and don't overlap."""
+        out, at, end = [], max(0, a - conf.around), b + conf.around
+        for x, y in without[bisect_left(without, at, key=lambda s: s[1]) :]:
+            if x >= end:
+                break
+            out.append(text[at : max(at, x)])
+            at = max(at, y)
+        out.append(text[at:end])
+        return " ".join(out)
+
+    first = [(a, b) for a, b in asked if is_new(text[a:b], around(a, b, asked), conf)]
+    return [(a, b, "novel") for a, b in first if len(first) == len(asked) or is_new(text[a:b], around(a, b, first), conf)]
 
 
 def scan(text: str | None, conf: Conf = Conf()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -99,7 +99,7 @@ def test_planted_keys_and_plain_strings():
     found = lambda s: bool(secrets.novel_spans(lead + s, []))
     kinds = {"lower": string.ascii_lowercase, "base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "digits": string.digits}
     for kind, letters in kinds.items():
-        keys = ["".join(r.choice(letters) for _ in range(n)) for n in range(12, 41, 4) for _ in range(25)]
+        keys = [k for n in range(12, 41, 4) for _ in range(25) if secrets.bits(k := "".join(r.choice(letters) for _ in range(n))) >= 56]
         assert sum(map(found, keys)) >= (0.9 if kind == "lower" else 0.97) * len(keys), kind
     assert all(found(str(uuid.UUID(int=r.getrandbits(128)))) for _ in range(50))
     texts = [t for t, in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null limit 300").fetchall()]
@@ -129,3 +129,28 @@ def test_sensitive_words_and_long_texts():
 
     seconds(500)
     assert seconds(16_000) < 8 * 2.5 * max(0.05, seconds(2_000))  # in proportion, not with the square
+
+
+def test_keys_in_lists_and_short_texts():
+    """Keys don't excuse each other, however many stand together; plain words are no keys in a short text either."""
+    import base64
+    import uuid
+
+    r = random.Random(3)
+    kinds = {
+        "base64": lambda: base64.b64encode(r.randbytes(21)).decode(), "hex": lambda: f"{r.getrandbits(80):020x}",
+        "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128))), "lower": lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)),
+    }
+    for kind, make in kinds.items():
+        keys = [make() for _ in range(200)]
+        text = "".join(f"export SERVICE_{k}_SETTING # auth\n{key}\n" for k, key in enumerate(keys))
+        found = {text[a:b] for a, b, _ in secrets.novel_spans(text, [])}
+        assert len(found & set(keys)) >= 0.95 * len(keys), kind
+    plain = "acknowledgement straightforward documentation internationalization configuration_value_path user_session_handler".split()
+    for lead in ("auth: ", "the token of ", "# credential\n"):
+        assert sum(bool(secrets.novel_spans(lead + w, [])) for w in plain) <= 1
+
+
+def test_bits():
+    assert secrets.bits("4785380592391139") < 56 <= secrets.bits("qkzjvmxhtrbp")
+    assert secrets.bits("0123456789abcdef") == 64 == secrets.bits("0123456789ABCDEF") and secrets.bits("----") == 4
