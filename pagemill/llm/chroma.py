@@ -130,22 +130,26 @@ class Fingerprinter:
         def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
             return integral[t1 : t1 + n, p1] - integral[t0 : t0 + n, p1] - integral[t1 : t1 + n, p0] + integral[t0 : t0 + n, p0]
 
+        parts, wholes = np.empty((2, len(self.filters), n))
         for k, f in enumerate(self.filters):
             p, q, w = f.pitch, f.pitch + f.height, f.width
-            whole = area(0, w, p, q)
+            wholes[k] = area(0, w, p, q)
             if f.kind == 0:
-                a = area(0, w, p + f.height // 2, q)
+                parts[k] = area(0, w, p + f.height // 2, q)
             elif f.kind == 1:
-                a = area(w // 2, w, p, q)
+                parts[k] = area(w // 2, w, p, q)
             elif f.kind == 2:
                 m = p + f.height // 2
-                a = area(0, w // 2, p, m) + area(w // 2, w, m, q)
+                parts[k] = area(0, w // 2, p, m) + area(w // 2, w, m, q)
             elif f.kind == 3:
-                a = area(0, w, p + f.height // 3, q - f.height // 3)
+                parts[k] = area(0, w, p + f.height // 3, q - f.height // 3)
             else:
-                a = area(w // 3, w - w // 3, p, q)
-            answer = np.round(np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(whole - a, 0)), 6)  # sums differ by rounding with their place
-            out |= _GRAY[np.searchsorted((-f.step, 0.0, f.step), answer)] << np.uint32(2 * k)
+                parts[k] = area(w // 3, w - w // 3, p, q)
+        answer = np.round(np.log1p(np.maximum(parts, 0)) - np.log1p(np.maximum(wholes - parts, 0)), 6)  # sums differ by rounding with their place
+        step = np.array([[f.step] for f in self.filters])
+        place = (answer > -step).astype(np.int8) + (answer > 0) + (answer > step)
+        for k in range(len(self.filters)):
+            out |= _GRAY[place[k]] << np.uint32(2 * k)
         return out
 
 
