@@ -178,7 +178,7 @@ def sampled(docs: DataFrame, conf: Conf = Conf()) -> list[tuple[str, list[str]]]
     room = F.greatest(F.length("text") - size, F.lit(0))
     cuts = F.array(*(F.substring("text", (room * k / max(1, n - 1)).cast("int") + 1, F.lit(size)) for k in range(n)))
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("key"), cuts.alias("cuts"))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
     # a number for each label, as the network itself has a column for each
     known = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()
     if not known:
@@ -188,7 +188,7 @@ def sampled(docs: DataFrame, conf: Conf = Conf()) -> list[tuple[str, list[str]]]
     limits = docs.sparkSession.createDataFrame([(r.lang, 4.0 * most / max(1, r.n)) for r in known], "lang string, share double")
     limits = F.broadcast(limits) if len(known) <= BROADCAST_LABELS else limits
     thin = rows.join(limits, "lang").where(F.col("key").cast("double") / 2.0**64 + 0.5 < F.col("share"))
-    each = thin.groupBy("lang", "key").agg(F.min("cuts").alias("cuts"))  # copies of a row: partial aggregates
+    each = thin.select("lang", "key", cuts.alias("cuts")).groupBy("lang", "key").agg(F.min("cuts").alias("cuts"))  # copies of a row: partial aggregates
     ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= most)
     return sorted((r.lang, r.cuts) for r in ranked.select("lang", "cuts").collect())
 
