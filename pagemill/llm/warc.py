@@ -58,14 +58,15 @@ def _safe(text: str) -> str:
     return quote(text, safe="!#$%&'()*+,/:;=?@[]~ -._<>|{}^`\"\\")
 
 
-def record(page_id: int | None, uid: int, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
-    """A response, or a revisit of ``refers_to`` without payload, as one gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, uid: int | str, url: str | None, payload: bytes, refers_to: str | None, known: tuple[int, str] | None = None) -> bytes:
+    """A response, or a revisit of ``refers_to`` without payload, as one gzip member; ``known``: a revisit's payload bytes and digest."""
+    size, sha = known or (len(payload), digest(payload))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}:{uid}>"),
         ("WARC-Date", "2000-01-01T00:00:00Z"),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{sha}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if url is not None:
@@ -85,12 +86,13 @@ def _writer(folder: str, archive_bytes: int):
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{path}", "size": size, "records": n}])
 
         for batch in batches:
-            pages, urls, uids, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "uid", "refers"))
-            for page, url, html, uid, refers_to in zip(pages, urls, batch.column("html"), uids, refers, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "uid", "refers", "size", "sha1"))
+            for page, url, uid, refers_to, bytes_, sha, html in zip(*columns, batch.column("html"), strict=True):
                 if out is None:
                     path, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{path}", compression=None)
-                data = record(page, uid, url, html.as_buffer().to_pybytes(), refers_to)
+                known = None if refers_to is None else (bytes_, base64.b32encode(bytes.fromhex(sha)).decode())
+                data = record(page, uid, url, html.as_buffer().to_pybytes() if refers_to is None else b"", refers_to, known)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= archive_bytes:
@@ -102,19 +104,36 @@ def _writer(folder: str, archive_bytes: int):
     return write
 
 
-def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(key, page_id, url, html, uid, top) of (page_id, url, html): ``top`` has the id and row number of the payload's response.
+def with_responses(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``pages`` (key, page_id, ...) with ``top``, and the stored tops (key, top).
 
-    ``uid`` numbers the rows, which asks for an input that reads the same each time, as tables do.
+    ``top`` has the largest page_id of the rows with the key, null less than all, and how many rows have it. Rows
+    are told by what they hold, never by number: numbers of rows may change from one read to the next, as
+    when executors are lost.
     """
-    rows = pages.withColumn("uid", F.monotonically_increasing_id())
-    # short payloads get a key of their own each, so they neither meet nor crowd one task
-    key = F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))).otherwise(F.concat(F.lit("row:"), "uid"))
-    rows = rows.withColumn("key", key)
     # partial aggregates: a payload that a third of the pages share arrives as a row from each task
-    top = rows.groupBy("key").agg(F.max(F.struct("page_id", "uid")).alias("top"))
+    each = pages.groupBy("key", "page_id").agg(F.count("*").alias("rows"))
+    top = stored(each.groupBy("key").agg(F.max(F.struct("page_id", "rows")).alias("top")), "responses")
     # stored first: both sides of the join then are plain exchanges, and Spark splits the payload that has too many rows
-    return rows.join(stored(top, "responses"), "key")
+    return pages.join(top, "key"), top
+
+
+def _repeated(pages: DataFrame, top: DataFrame) -> DataFrame:
+    """(page_id, url, html, response) for rows that repeat their payload's largest page_id: of each payload one is the response.
+
+    They are counted by url, and as many rows made anew, in bounded runs; the response has the smallest url.
+    """
+    many = pages.join(top.where("top.rows > 1"), "key").where(F.col("page_id").eqNullSafe(F.col("top.page_id")))
+    counted = stored(many.groupBy("key", "page_id", "url").agg(F.count("*").alias("rows"), F.first("html").alias("html"), F.first("size").alias("size")), "repeated")
+    place = F.struct(F.col("url").isNotNull().alias("has"), "url")
+    first = counted.groupBy("key").agg(F.min(place).alias("least"))
+    marked = counted.join(first, "key").withColumn("is_first", F.col("least").eqNullSafe(place)).drop("least")
+    responses = marked.where("is_first").select("page_id", "url", "html", "size", "key", F.lit(True).alias("response"))
+    left = F.col("rows") - F.col("is_first").cast("long")
+    runs = marked.select("page_id", "url", "size", "key", F.explode(F.sequence(F.lit(0).cast("long"), left, F.lit(10_000).cast("long"))).alias("at"), left.alias("left"))
+    runs = runs.select("page_id", "url", "size", "key", F.least(F.col("left") - F.col("at"), F.lit(10_000)).cast("int").alias("n")).repartition("key", "url", F.rand(1))
+    others = runs.select("page_id", "url", F.lit("").alias("html"), "size", "key", F.explode(F.array_repeat(F.lit(False), F.col("n"))).alias("response"))
+    return responses.unionByName(others)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 1 << 30, least_bytes: int = 0) -> DataFrame:
@@ -122,16 +141,28 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest page_id (null is
     less than all) becomes a response and the others revisit it; smaller ones are all responses. Of repeated
-    rows with that page_id one is chosen by row number. Payloads and urls may have any length that a row can
+    rows with that page_id one is the response. Payloads and urls may have any length that a row can
     have; a record is compressed in memory. No rows: no archives. Further columns are ignored.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    joined = with_responses(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")), least_bytes)
-    name: Column = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("top.page_id").cast("string"), F.lit("")), F.lit(":"), F.col("top.uid"), F.lit(">"))
-    refers = F.when(F.col("uid") != F.col("top.uid"), name)
-    done = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "uid", refers.alias("refers")).mapInArrow(_writer(folder, archive_bytes), _FILES)
-    return stored(done, "archives")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumn("size", F.octet_length("html").cast("long"))
+    long = rows.where(F.col("size") >= least_bytes).select(F.sha1(F.col("html").cast("binary")).alias("key"), "*")
+    joined, top = with_responses(long)
+    name: Column = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("key"), F.lit(">"))
+    is_top = F.col("page_id").eqNullSafe(F.col("top.page_id"))
+    refers = F.when(~is_top, F.concat(F.lit("<urn:page:"), F.coalesce(F.col("top.page_id").cast("string"), F.lit("")), F.lit(":"), F.col("key"), F.lit(">")))
+    done = joined.where(~is_top | (F.col("top.rows") == 1)).select("page_id", "url", "html", "size", "key", is_top.alias("response"), refers.alias("refers"))
+    if least_bytes > 0:
+        none = F.lit(None).cast("string")
+        done = done.unionByName(rows.where(F.col("size") < least_bytes).select("*", none.alias("key"), F.lit(True).alias("response"), none.alias("refers")))
+    if not top.where("top.rows > 1").isEmpty():
+        done = done.unionByName(_repeated(long, top).withColumn("refers", F.when(~F.col("response"), name)))
+    # a response that others refer to is named by its payload; all other records by a number that is theirs in this write
+    named = F.coalesce(F.when(F.col("response"), F.col("key")), F.monotonically_increasing_id().cast("string"))
+    payload = F.when(F.col("response"), F.col("html")).otherwise(F.lit("")).cast("binary")
+    done = done.select("page_id", "url", payload.alias("html"), "size", F.col("key").alias("sha1"), named.alias("uid"), "refers")
+    return stored(done.mapInArrow(_writer(folder, archive_bytes), _FILES), "archives")
 
 
 class _Source:
