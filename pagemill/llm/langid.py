@@ -126,22 +126,28 @@ class ByteNet:
         return self._tables
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        """(n, languages) for uint8 windows; a block of windows at a time, so that it stays in the cache."""
+        """(n, languages) for uint8 windows; a block of windows at a time, so that it stays in the cache.
+
+        A window's numbers don't depend on those it comes with, down to the last bit: however a table is cut into
+        batches, as it is anew when executors are lost, scores agree.
+        """
         tables, scale = self._compiled()
         n, size = windows.shape
-        h = np.empty((n, len(tables) * self.conf.filters), np.float32)
+        z_all, bias = np.empty((n, len(self.langs)), np.float32), np.concatenate(self.biases)
         for at in range(0, n, 64):
             x = np.ascontiguousarray(windows[at : at + 64].T)  # place, window: the largest is taken over the first axis
             pairs = (x[:-1].astype(np.uint16) << 8) | x[1:]
+            h = np.empty((x.shape[1], len(tables) * self.conf.filters), np.float32)
             for i, (w, parts) in enumerate(zip(self.conf.widths, tables, strict=True)):
                 last = size - w + 1
                 z = parts[0][pairs[:last]]
                 for j, t in enumerate(parts[1:], 1):
                     z += t[(pairs if 2 * j + 1 < w else x)[2 * j : 2 * j + last]]
-                h[at : at + 64, i * self.conf.filters : (i + 1) * self.conf.filters] = z.max(axis=0)
-        h /= scale
-        h += np.concatenate(self.biases)
-        return _softmax(np.maximum(h, 0) @ self.out + self.shift)
+                h[:, i * self.conf.filters : (i + 1) * self.conf.filters] = z.max(axis=0)
+            h = np.maximum(h / np.float32(scale) + bias, 0)
+            # sums filter by filter: a matrix product's rounding may follow its shape
+            z_all[at : at + 64] = np.add.reduce(h[:, :, None] * self.out, axis=1) + self.shift
+        return _softmax(z_all)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

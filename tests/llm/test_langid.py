@@ -138,3 +138,11 @@ def test_query_against_brute_force(spark):
         total /= total.sum()
         assert got[r.doc_id].held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1)
         assert total[net.langs.index(got[r.doc_id].lang_pred)] > total.max() - 0.01 and abs(got[r.doc_id].score - total.max()) < 0.01
+
+
+def test_scores_do_not_depend_on_the_batch():
+    net = langid.ByteNet([f"l{k}" for k in range(7)])
+    x = np.random.default_rng(2).integers(0, 256, (333, 256)).astype(np.uint8)
+    whole = net.probabilities(x)
+    for size in (1, 5, 64, 100):
+        assert (np.concatenate([net.probabilities(x[at : at + size]) for at in range(0, 333, size)]) == whole).all()
