@@ -59,6 +59,17 @@ def test_import(spark, tmp_path):
     assert catalog.default_selection(ids(spark), every).first().id == rows[0].id
 
 
+def test_listing_of_folders(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"12")
+    (tmp_path / "s.png" / "deep").mkdir(parents=True)
+    (tmp_path / "s.png" / "b.png").write_bytes(b"123")
+    (tmp_path / "s.png" / "deep" / "c.png").write_bytes(b"1234")
+    (tmp_path / "none").mkdir()
+    rows = lambda **how: [(r.path.rsplit("/", 1)[1], r.length) for r in list_paths(spark, [str(tmp_path)], **how).collect()]
+    assert rows() == [("a.png", 2)]
+    assert rows(include_folders=True) == [("a.png", 2), ("none", 0), ("s.png", 7)]
+
+
 def test_next_selection(spark):
     r = random.Random(3)
     for _ in range(8):

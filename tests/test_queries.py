@@ -1,5 +1,5 @@
 import pytest
-from oracle import SF, compare
+from oracle import SF, TABLES, compare
 
 from pagemill.queries import QUERIES
 
@@ -15,3 +15,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def tables_as_folders(top):
+    """Tables are files, folders of files and folders of such folders in turn."""
+    for k, t in enumerate(TABLES):
+        at = top / f"{t}.parquet" / ("", "part-0.parquet", "k=1/part-0.parquet")[k % 3]
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"PAR1")
+    return str(top)
+
+
+def test_drop_lists_tables_that_are_folders(spark, tmp_path):
+    (tmp_path / ".hidden.parquet").mkdir()
+    (tmp_path / "folder").mkdir()
+    query, sql = QUERIES["listing_drop"]
+    assert compare(query(spark, tables_as_folders(tmp_path)), sql) == len(TABLES)
+    (tmp_path / "none.parquet").mkdir()
+    assert [tuple(r) for r in query(spark, str(tmp_path)).where("NOT has_bytes").collect()] == [("none.parquet", False)]
