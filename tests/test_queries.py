@@ -33,3 +33,11 @@ def test_drop_lists_tables_that_are_folders(spark, tmp_path):
     assert compare(query(spark, tables_as_folders(tmp_path)), sql) == len(TABLES)
     (tmp_path / "none.parquet").mkdir()
     assert [tuple(r) for r in query(spark, str(tmp_path)).where("NOT has_bytes").collect()] == [("none.parquet", False)]
+
+
+def test_picker_lists_tables_that_are_folders(spark, tmp_path):
+    query, sql = QUERIES["listing_picker"]
+    assert compare(query(spark, tables_as_folders(tmp_path)), sql) == len(TABLES)
+    (tmp_path / ".hidden.parquet").mkdir()
+    (tmp_path / ".hidden.parquet" / "part-0.parquet").write_bytes(b"PAR1")
+    assert [tuple(r) for r in query(spark, str(tmp_path)).where("file_name LIKE '.%'").collect()] == [(".hidden.parquet", True)]
